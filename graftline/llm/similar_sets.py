@@ -67,7 +67,7 @@ def class_pairs(signatures: DataFrame, members: DataFrame, threshold: float, scr
     """(a, b, similarity) between classes; ``signatures`` one row per class, ``members`` (cls, e) its elements."""
     rows, depth, found = _keyed(signatures, START), START, None
     while True:
-        crowded = scratch.cut(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("tree", "key"), "crowded", 1)
+        crowded = scratch.cut(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("tree", "key"), "crowded")
         more = depth < DEEPEST and not crowded.isEmpty()
         calm = rows.join(crowded, ["tree", "key"], "left_anti") if more else rows
         near = _neighbours(calm, threshold)
