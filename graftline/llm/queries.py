@@ -7,7 +7,8 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graftline.llm import canonical_list, leakage, similar_sets, visual_text
+from graftline.llm import canonical_list, entity_match, leakage, mixing, similar_sets, visual_text
+from graftline.session import Scratch
 from graftline.tables import current_rows, load
 
 
@@ -20,6 +21,15 @@ def p10_forms(spark: SparkSession, sf: str) -> DataFrame:
     return visual_text.consistent(load(spark, sf, "documents").select("doc_id", "text"), "text", "form")
 
 
+def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
+    entries = current_rows(load(spark, sf, "entries").select("id", "modified_at", "canonical_name", "aliases", "identifiers", "members"), "id", "modified_at")
+    return entity_match.match(entries, load(spark, sf, "catalog_records"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_matches(spark, sf).select("catalog_id", "entry_id")
+
+
 def _name_only(spark: SparkSession, sf: str) -> DataFrame:
     """source_record_id, name: relations of current rows without an entry id."""
     entries = current_rows(load(spark, sf, "entries").select("id", "modified_at", "model_relations"), "id", "modified_at")
@@ -66,8 +76,22 @@ def p8_reparameterised(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.reparameterised(_documents(spark, sf), load(spark, sf, "eval_items")).withColumnRenamed("id", "doc_id")
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The topic is the tuning of the curated model that a document is about."""
+    curated = load(spark, sf, "curated_entries").select(F.col("id").alias("subject_id"), F.coalesce(F.try_element_at("tags", F.lit(2)), F.lit("base")).alias("topic"))
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "lang", "subject_id", "text")
+    targets = load(spark, sf, "mix_targets")
+    wanted = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")
+    counted = Scratch(spark, "mix").cut(mixing.token_counts(wanted, "text"), "counted")
+    return mixing.mix(counted.join(curated, "subject_id", "left").drop("subject_id"), targets).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, sf), load(spark, sf, "mix_targets"))
+
+
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p8_found, p8_reparameterised, p10_found, p10_forms)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_unmatched, p4_found, p8_found, p8_reparameterised, p9_mix, p9_shares, p10_found, p10_forms)}
 
 
 def _form_sql(column: str) -> str:
