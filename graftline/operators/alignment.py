@@ -46,7 +46,7 @@ def node_matches(sides: DataFrame) -> DataFrame:
         none = pdf.iloc[:0]
         left, right = s.get("left", none), s.get("right", none)
         m = longest_common(left["token"].tolist(), right["token"].tolist())
-        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "left_id": [left["node_id"].iloc[i] for i, _ in m], "right_id": [right["node_id"].iloc[j] for _, j in m]})
+        return pd.DataFrame({"pair_id": [pdf["pair_id"].iloc[0]] * len(m), "left_id": [left["node_id"].iloc[i] for i, _ in m], "right_id": [right["node_id"].iloc[j] for _, j in m]}, dtype=object)
 
     return sides.select("pair_id", "side", "at", "node_id", "token").groupBy("pair_id").applyInPandas(run, f"pair_id {sides.schema['pair_id'].dataType.simpleString()}, left_id string, right_id string")
 

@@ -118,7 +118,7 @@ def canonical_order(vertices: DataFrame, edges: DataFrame, budget: int = 100_000
         for pdf in batches:
             for graph, nodes, links in zip(pdf["graph_id"], pdf["nodes"], pdf["links"]):
                 order = _canonical([(n["node_id"], n["operation"], n["attributes"]) for n in nodes], [] if links is None else [(e["source"], e["target"], e["position"]) for e in links], budget)
-                yield pd.DataFrame({"graph_id": graph, "node_id": order, "canonical_id": [f"n{i:06d}" for i in range(len(order))]})
+                yield pd.DataFrame({"graph_id": [graph] * len(order), "node_id": order, "canonical_id": [f"n{i:06d}" for i in range(len(order))]})
 
     return packed.mapInPandas(run, f"graph_id {vertices.schema['graph_id'].dataType.simpleString()}, node_id string, canonical_id string")
 

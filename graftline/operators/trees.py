@@ -54,7 +54,7 @@ def layout(edges: DataFrame, scratch) -> DataFrame:
     nodes = scratch.cut(placed(edges, scratch), "placed")
     tips = leaves(nodes, edges)
     w = Window.partitionBy("tree_id").orderBy(F.array_join("path", "\x01"))
-    level = rows = scratch.cut(tips.select("tree_id", "node", "parent", "x", (F.row_number().over(w) - 1).cast("double").alias("y")), "rows")
+    level = rows = scratch.cut(tips.select("tree_id", "node", "parent", "x", (F.row_number().over(w) - 1).cast("double").alias("y")), "tips")
     todo = nodes.join(rows.select("tree_id", "node"), ["tree_id", "node"], "left_anti")
     top = nodes.agg(F.max("depth")).first()[0] or 0
     for depth in range(top - 1, -1, -1):

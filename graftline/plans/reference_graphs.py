@@ -235,11 +235,14 @@ def character_states_sparse(spark: SparkSession, sf: str) -> DataFrame:
     return B.nation_states(spark, sf)
 
 
-@query(f"""WITH {B.PAIRS}, d AS (SELECT max(CASE WHEN right_id = 'NATION_1' THEN distance END) AS ab, max(CASE WHEN left_id = 'NATION_0' AND right_id = 'NATION_2' THEN distance END) AS ac, max(CASE WHEN left_id = 'NATION_1' THEN distance END) AS bc FROM sh WHERE left_id IN ('NATION_0', 'NATION_1') AND right_id IN ('NATION_1', 'NATION_2'))
-SELECT unnest(['NATION_0', 'NATION_1', 'NATION_2']) AS child, unnest([greatest(0, (ab + ac - bc) / 2.0), greatest(0, (ab + bc - ac) / 2.0), (ac + bc - ab) / 4.0])::DOUBLE AS branch_length FROM d""")
+@query(f"""WITH {B.PAIRS}, three AS (SELECT taxon, row_number() OVER (ORDER BY taxon) AS k FROM t), d AS (SELECT max(distance) FILTER (l.k = 1 AND r.k = 2) AS ab, max(distance) FILTER (l.k = 1 AND r.k = 3) AS ac, max(distance) FILTER (l.k = 2 AND r.k = 3) AS bc FROM sh JOIN three l ON left_id = l.taxon JOIN three r ON right_id = r.taxon)
+SELECT taxon AS child, CASE k WHEN 1 THEN greatest(0, (ab + ac - bc) / 2.0) WHEN 2 THEN greatest(0, (ab + bc - ac) / 2.0) ELSE (ac + bc - ab) / 4.0 END::DOUBLE AS branch_length FROM three, d WHERE k <= 3""")
 def nj_three_taxa(spark: SparkSession, sf: str) -> DataFrame:
-    d = _nation_distances(spark, sf).where("left_id in ('NATION_0', 'NATION_1') and right_id in ('NATION_1', 'NATION_2')").withColumn("tree_id", F.lit("three"))
-    return distance.neighbor_joining(d).where("child_is_taxon").select("child", "branch_length")
+    """The first three nations by name; the tree of three taxa has a closed form."""
+    d = _nation_distances(spark, sf)
+    first = d.select(F.col("left_id").alias("t")).union(d.select("right_id")).distinct().orderBy("t").limit(3)
+    three = d.join(F.broadcast(first.withColumnRenamed("t", "left_id")), "left_id", "left_semi").join(F.broadcast(first.withColumnRenamed("t", "right_id")), "right_id", "left_semi")
+    return distance.neighbor_joining(three.withColumn("tree_id", F.lit("three"))).where("child_is_taxon").select("child", "branch_length")
 
 
 @query()
