@@ -303,8 +303,8 @@ def content_digests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract(text, '(?im)^\s*(?:references)\s*:?[ \t]*$([\s\S]*)$', 1) AS t FROM documents WHERE regexp_matches(text, '(?im)^\s*references\s*:?[ \t]*$')),
-e AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^[ \t]*\[\d{1,4}\][^\n]*')) AS raw FROM d)
-SELECT doc_id, CAST(regexp_extract(raw, '\[(\d+)\]', 1) AS INTEGER) AS marker, trim(regexp_replace(regexp_replace(raw, '^[ \t]*\[\d{1,4}\]', ''), '\s+', ' ', 'g')) AS entry FROM e""")
+e AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^[ \t]*\[(\d{1,4})\]', 1)) AS marker, unnest(string_split_regex(t, '(?m)^[ \t]*\[\d{1,4}\]')[2:]) AS raw FROM d),
+b AS (SELECT doc_id, CAST(marker AS INTEGER) AS marker, trim(regexp_replace(raw, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS entry FROM e) SELECT * FROM b WHERE entry <> ''""")
 def bibliography_entries(spark: SparkSession, sf: str) -> DataFrame:
     return documents.bibliography(load(spark, sf, "documents")).select("doc_id", "marker", "entry")
 
