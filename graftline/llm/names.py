@@ -10,7 +10,7 @@ from graftline.llm import visual_text
 # Words for tunings and what they stand for; no tuning and "base" are the same.
 TUNINGS = {
     "instruct": "instruct", "instruction": "instruct", "inst": "instruct", "it": "instruct", "chat": "chat", "dialogue": "chat", "dialog": "chat", "code": "code", "coder": "code", "vision": "vision", "visual": "vision", "vl": "vision",
-    "embed": "embed", "embedding": "embed", "base": "base", "pretrained": "base",
+    "embed": "embed", "embedding": "embed", "emb": "embed", "base": "base", "pretrained": "base",
 }
 # Generations in words or Roman numerals.
 GENERATIONS = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "one": "1", "two": "2", "three": "3"}
