@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHANGES = "part int, prev_no bigint, next_no bigint, key_hash bigint, kind string"
+#: Rows of four integers that one bucket sorts at once, about 50 MB.
+BUCKET_ROWS = 1_000_000
 
 
 def ordered_snapshots(reports: DataFrame) -> DataFrame:
@@ -81,10 +82,11 @@ def _bucket_changes(table: pa.Table) -> pa.Table:
 def changes(records: DataFrame, reports: DataFrame, values: list[str], lists: list[str], key: str = "catalog_id", buckets: int | None = None) -> DataFrame:
     """(feed_id, snapshot_digest, key, change_kind) for each pair of consecutive snapshots; the digest is the later one's.
 
-    ``buckets``: number of hash buckets; by default eight per shuffle partition, so that a bucket is a small part of a task.
+    ``buckets``: number of hash buckets; by default as many as keep a bucket at ``BUCKET_ROWS`` rows or fewer on average, at
+    least eight per shuffle partition. The count of rows comes from the files' footers.
     """
     spark = records.sparkSession
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // BUCKET_ROWS))
     snaps = ordered_snapshots(reports)
     ends = snaps.groupBy("feed_id").agg(F.max("snap_no").alias("last_no"))
     numbered = snaps.join(ends, "feed_id")

@@ -226,7 +226,7 @@ def tree_likeness_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {B.STATES} SELECT t.taxon, c.character, coalesce(s.cnt, 0) AS cnt FROM (SELECT DISTINCT taxon FROM states) t CROSS JOIN (SELECT DISTINCT character FROM states) c LEFT JOIN states s ON t.taxon = s.taxon AND c.character = s.character")
 def character_matrix_dense(spark: SparkSession, sf: str) -> DataFrame:
     s = Scratch(spark, "dense").cut(B.nation_states(spark, sf), "states")
-    cells = s.select("taxon").distinct().join(F.broadcast(s.select("character").distinct()), F.lit(True))  # the dense matrix is the result
+    cells = s.select("taxon").distinct().join(s.select("character").distinct(), F.lit(True))  # the dense matrix is the result
     return cells.join(s, ["taxon", "character"], "left").select("taxon", "character", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
