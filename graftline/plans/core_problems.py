@@ -11,7 +11,6 @@ from graftline.operators import hierarchy, incremental, orphans, snapshot_diff
 from graftline.session import Scratch, shared_dir
 from graftline.tables import current_rows, load
 
-ENTRY_PREFIX = "modelome:model:"
 SNAPSHOT_VALUES = ["name", "access_kind", "license", "citations", "parameters", "modified_at", "revision"]
 
 
@@ -24,12 +23,13 @@ def relations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derived_links(spark: SparkSession, sf: str) -> DataFrame:
-    """(child, parent) of the derived-from relations; parent is null where no such entry exists."""
+    """(child, parent) of the derived-from relations; parent is null where no such entry exists. A subject's local id stands
+    behind the same prefix as in the id of the entry that carries the relation."""
     entries = load(spark, sf, "entries").select(orphans.key_form(F.col("id")).alias("id")).where("id is not null").distinct()
     stated = (
         relations(spark, sf)
         .where(F.regexp_replace(F.lower(F.trim("r.predicate")), r"[\s_-]+", "-") == "derived-from")
-        .select(orphans.key_form(F.coalesce(F.concat(F.lit(ENTRY_PREFIX), F.col("r.subject_model_local_id")), F.col("id"))).alias("child"), orphans.key_form(F.col("r.target.entry_id")).alias("parent"))
+        .select(orphans.key_form(F.coalesce(F.concat(F.regexp_extract("id", "^(.*:)", 1), F.col("r.subject_model_local_id")), F.col("id"))).alias("child"), orphans.key_form(F.col("r.target.entry_id")).alias("parent"))
         .where("parent is not null")
         .distinct()
     )
@@ -93,7 +93,7 @@ _CURRENT = "cur AS (SELECT * FROM entries e WHERE id IS NOT NULL QUALIFY row_num
 
 _FOREST = f"""{_CURRENT},
 ids AS (SELECT DISTINCT lower(trim(id)) AS id FROM entries WHERE id IS NOT NULL),
-stated AS (SELECT DISTINCT lower(trim(coalesce('{ENTRY_PREFIX}' || r.subject_model_local_id, id))) AS child, nullif(lower(trim(r.target.entry_id)), '') AS parent FROM rel
+stated AS (SELECT DISTINCT lower(trim(coalesce(regexp_extract(id, '^(.*:)', 1) || r.subject_model_local_id, id))) AS child, nullif(lower(trim(r.target.entry_id)), '') AS parent FROM rel
   WHERE regexp_replace(lower(trim(r.predicate)), '[\\s_-]+', '-', 'g') = 'derived-from' AND nullif(trim(r.target.entry_id), '') IS NOT NULL),
 links AS (SELECT s.child, p.id AS parent FROM stated s LEFT JOIN ids p ON s.parent = p.id),
 nodes AS (SELECT DISTINCT n FROM (SELECT child AS n FROM links UNION SELECT parent FROM links) JOIN ids ON n = id),
