@@ -150,7 +150,7 @@ def test_entity_match(spark):
     entries, records, truth = [], [], set()
     for n, f in enumerate(families):
         for g, size, tuning in (("2 ", "7B", " Chat"), ("", "13B", "")):
-            e = f"modelome:model:{f}-{n}{size}"
+            e = f"registry:model:{f}-{n}{size}"
             entries.append((e, f"{f.title()} {g}{size}{tuning}", [f"{f}-other"] if n == 0 else None, [("paper", f"pp-20-{n:07d}")] if n % 2 else None, [("maker", f"Maker{chr(97 + n % 26)}x Labs")]))
             w = list(f)
             if n % 3 == 0:
@@ -160,7 +160,7 @@ def test_entity_match(spark):
             truth.add((r, e))
         records.append((f"forge:{n}", f"{f.title()} 70B", "Maker", "forge", None, None, None, None))
     records += records[:5] + [("index:null", None, None, None, None, None, None, None), (None, "x", None, None, None, None, None, None), ("index:long", "y" * 4000, None, None, None, 7e9, None, None)]
-    e = spark.createDataFrame(entries + [("modelome:model:none", None, None, None, None), (None, "a", None, None, None)], "id string, canonical_name string, aliases array<string>, identifiers array<struct<namespace:string,value:string>>, members array<struct<member_kind:string,name:string>>")
+    e = spark.createDataFrame(entries + [("registry:model:none", None, None, None, None), (None, "a", None, None, None)], "id string, canonical_name string, aliases array<string>, identifiers array<struct<namespace:string,value:string>>, members array<struct<member_kind:string,name:string>>")
     r = spark.createDataFrame(records, "catalog_id string, name string, organization string, provider string, identifiers array<struct<namespace:string,value:string>>, parameters double, modified_at timestamp, observed_at timestamp")
     rows = entity_match.match(e, r).collect()
     got = {(x.catalog_id, x.entry_id) for x in rows}
