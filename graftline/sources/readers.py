@@ -20,7 +20,8 @@ class FormatError(ValueError):
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of JSONL, a JSON array, {"entries": [...]} or a single object; a malformed file gives a row with a null id."""
     text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
-    kind = F.when(F.col("t").startswith("["), "array").when(F.try_parse_json("t").isNull(), "lines").when(F.col("t").rlike(r'^\{\s*"entries"\s*:'), "wrapped").otherwise("single")
+    each = F.forall(F.filter(F.split("t", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: x.rlike(r"^\s*\{.*\}\s*$"))  # an object a line
+    kind = F.when(F.col("t").startswith("["), "array").when(F.col("t").rlike(r'^\{\s*"entries"\s*:'), "wrapped").when(each, "lines").otherwise("single")
     k = text.withColumn("kind", kind)
     one = T._parse_datatype_string(ENTRY)
     many = k.where("kind = 'array'").select(F.explode(F.from_json("t", T.ArrayType(one))).alias("e"))

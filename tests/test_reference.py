@@ -216,12 +216,12 @@ def test_scalars(spark):
 
 
 def test_text(spark):
-    text = "Intro words here [1], [2–3].\n1 Method\nWe use e.g. two steps. Fig. 2 shows 3.5 points. Done!\nReferences\n[1] Doe, A. On trees. 2020. doi:10.1/x\n[2] Roe, B. 2021.\n[3] Poe, C. a title\nmore. 2022."
+    text = "Intro words here [1], [2–3].\n1 Method\nWe use e.g. two steps. Fig. 2 shows 3.5 points. Done!\nReferences\n[1] Doe, A. On trees. 2020. doi:10.1000/x\n[2] Roe, B. 2021.\n[3] Poe, C. a title\nmore. 2022."
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "plain")], "doc_id int, text string")
     assert documents.sentences("We use e.g. two steps. Fig. 2 shows 3.5 points. Done!") == [(0, 22), (23, 47), (48, 53)]
     assert [s[0] for s in documents.sections(text)] == ["Front matter", "Method", "References"]
     b = documents.bibliography(docs)
-    assert {(r.marker, r.year, r.author, r.doi) for r in b.collect()} == {(1, 2020, "trees", "10.1/x"), (2, 2021, "b", None), (3, 2022, "more", None)}
+    assert {(r.marker, r.year, r.author, r.doi) for r in b.collect()} == {(1, 2020, "trees", "10.1000/x"), (2, 2021, "b", None), (3, 2022, "more", None)}
     m = documents.resolve_mentions(documents.mentions(docs), b)
     assert {(r.key, r.status) for r in m.collect()} == {("marker:1", "resolved"), ("marker:2", "resolved"), ("marker:3", "resolved")}
     once = documents.normalize_paper("A wrap-\nped line\nof text.\r\n\r\nMETHOD\nmore")
