@@ -103,6 +103,17 @@ def test_similar_sets(spark, monkeypatch, crowd):
     assert similar_sets.similar_pairs(df.limit(0), "model", F.col("element")).count() == 0
 
 
+def test_crowds_of_variants(spark):
+    """Thousands of variants of one set: most pairs are crowded in every tree, and each is exactly at the threshold."""
+    base = [f"b{i}" for i in range(14)]
+    n = 1300
+    rows = [(f"v{v:05d}", e) for v in range(n) for e in base + [f"u{v}-{k}" for k in range(3)]]
+    rows += [(f"w{v:05d}", e) for v in range(600) for e in base + [f"x{v}-{k}" for k in range(4)]]
+    df = spark.createDataFrame(rows, "model string, element string")
+    got = similar_sets.similar_pairs(df, "model", F.col("element")).groupBy(F.substring("left_id", 1, 1).alias("l"), F.substring("right_id", 1, 1).alias("r"), F.round("similarity", 9).alias("s")).count().collect()
+    assert {tuple(x) for x in got} == {("v", "v", 0.7, n * (n - 1) // 2)}
+
+
 def test_leaks(spark):
     items = [("i1", "A keeper named Vetrad pays 934 tokens per ledger whenever the Pigid relay drops below level 654 in spring."), ("i2", "Suppose ancestor Dikok lost 12 characters on branch Subris while cousin Lobal gained 743 on the way."), ("i3", "too short"), (None, "x " * 20), ("i4", None)]
     full = items[0][1]
