@@ -66,7 +66,7 @@ def occurrences(labelled: DataFrame) -> DataFrame:
     return labelled.select("graph_id", cid.alias("character_id"), "node_id").withColumn("occurrence_id", F.sha2(text, 256))
 
 
-def regions(vertices: DataFrame, edges: DataFrame, scratch, limit: int = 64) -> DataFrame:
+def regions(vertices: DataFrame, edges: DataFrame, scratch) -> DataFrame:
     """(graph_id, entry, exit, left_path, right_path, signature): two branches that fork at an entry and join at an exit.
 
     For each join node and pair of its predecessors, the common ancestor by (greatest distance, sum of distances, id) whose
@@ -84,17 +84,13 @@ def regions(vertices: DataFrame, edges: DataFrame, scratch, limit: int = 64) ->
     # shortest paths from each ancestor down to each predecessor of a join
     wanted = preds.select("graph_id", F.col("pred").alias("node")).distinct()
     path = wanted.select("graph_id", "node", F.col("node").alias("ancestor"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("eids"), F.lit(0).alias("depth"))
-    found = level = scratch.cut(path, "paths")
-    for _ in range(limit + 1):
+    folder = scratch.path("paths")
+    level, found = scratch.grow(path, folder)
+    while not level.isEmpty():
         up = level.select("graph_id", "node", F.col("ancestor").alias("target"), "nodes", "eids", "depth").join(hop, ["graph_id", "target"])
         step = up.select("graph_id", "node", F.col("source").alias("ancestor"), F.concat(F.array("source"), "nodes").alias("nodes"), F.concat(F.array("eid"), "eids").alias("eids"), (F.col("depth") + 1).alias("depth"))
         new = step.join(found.select("graph_id", "node", "ancestor"), ["graph_id", "node", "ancestor"], "left_anti").groupBy("graph_id", "node", "ancestor").agg(F.min(F.struct("eids", "nodes", "depth")).alias("p"))
-        level = scratch.cut(new.select("graph_id", "node", "ancestor", "p.nodes", "p.eids", "p.depth"), "paths")
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    else:
-        raise ValueError(f"graphs are deeper than {limit} levels")
+        level, found = scratch.grow(new.select("graph_id", "node", "ancestor", "p.nodes", "p.eids", "p.depth"), folder)
     side = lambda s: preds.select("graph_id", "exit", F.col("pred").alias(f"pred_{s}"), F.col("eid").alias(f"last_{s}")).join(found.select("graph_id", F.col("node").alias(f"pred_{s}"), "ancestor", F.col("nodes").alias(f"nodes_{s}"), F.col("eids").alias(f"eids_{s}"), F.col("depth").alias(f"depth_{s}")), ["graph_id", f"pred_{s}"])
     pairs = side("a").join(side("b"), ["graph_id", "exit", "ancestor"]).where("pred_a < pred_b")
     inner = lambda s: F.slice(f"nodes_{s}", 2, F.greatest(F.size(f"nodes_{s}") - 1, F.lit(0)))

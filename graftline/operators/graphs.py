@@ -85,20 +85,17 @@ def structural_digest(vertices: DataFrame, edges: DataFrame, schema_version: str
     return n.join(e, "graph_id", "left").select("graph_id", F.sha2(text, 256).alias("structural_digest"))
 
 
-def ancestors(edges: DataFrame, scratch, limit: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, scratch) -> DataFrame:
     """(graph_id, node_id, ancestor, depth): least number of edges up to each ancestor; breadth first, one join a level.
 
-    Fails beyond ``limit`` levels rather than cut the closure short."""
+    Ends when a level adds no ancestor, so graphs of any depth are walked whole and a cycle ends too."""
     up = edges.select("graph_id", F.col("target").alias("node_id"), F.col("source").alias("ancestor")).distinct()
-    found = level = scratch.cut(up.withColumn("depth", F.lit(1)), "closure")
-    for depth in range(2, limit + 2):
+    folder, depth = scratch.path("closure"), 1
+    level, found = scratch.grow(up.withColumn("depth", F.lit(1)), folder)
+    while not level.isEmpty():
+        depth += 1
         step = level.select("graph_id", "node_id", F.col("ancestor").alias("via")).join(up.select("graph_id", F.col("node_id").alias("via"), "ancestor"), ["graph_id", "via"]).select("graph_id", "node_id", "ancestor").distinct()
-        level = scratch.cut(step.join(found, ["graph_id", "node_id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if level.isEmpty():
-            return found
-        if depth > limit:
-            raise ValueError(f"graphs are deeper than {limit} levels")
-        found = found.unionByName(level)
+        level, found = scratch.grow(step.join(found, ["graph_id", "node_id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), folder)
     return found
 
 

@@ -1,6 +1,6 @@
 """Rooted trees as edges(tree_id, parent, child, branch_length): roots, layout, states of ancestors, traits, Newick text.
 
-Levels are walked by joins, one per level, within the tree's depth. Nulls: edges with a null end are invalid, a null length
+Levels are walked by joins, one per level, down to the last; a cycle below a root fails. Nulls: edges with a null end are invalid, a null length
 counts as 0. A child with two parents, a tree with several roots or a cycle is invalid (``problems``). Empty tables give empty
 results.
 """
@@ -13,8 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 200
-
 
 def roots(edges: DataFrame) -> DataFrame:
     parents = edges.select("tree_id", F.col("parent").alias("node")).distinct()
@@ -34,15 +32,13 @@ def problems(edges: DataFrame) -> DataFrame:
 def placed(edges: DataFrame, scratch) -> DataFrame:
     """(tree_id, node, parent, depth, x, path): x is the length from the root, path the sorted way of ids down to the node."""
     e = scratch.cut(edges.select("tree_id", "parent", F.col("child").alias("node"), F.coalesce(F.col("branch_length").cast("double"), F.lit(0.0)).alias("len")), "edges")
-    level = scratch.cut(roots(edges).select("tree_id", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0.0).alias("x"), F.array("root").alias("path")), "level")
-    found = level
-    for _ in range(LIMIT):
+    folder = scratch.path("levels")
+    level, found = scratch.grow(roots(edges).select("tree_id", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0.0).alias("x"), F.array("root").alias("path")), folder)
+    way = F.when(F.array_contains("path", F.col("node")), F.raise_error(F.concat(F.lit("a cycle through "), F.col("node").cast("string")))).otherwise(F.concat("path", F.array("node")))
+    while not level.isEmpty():
         up = level.select("tree_id", F.col("node").alias("parent"), "depth", "x", "path")
-        level = scratch.cut(e.join(up, ["tree_id", "parent"]).select("tree_id", "node", "parent", (F.col("depth") + 1).alias("depth"), (F.col("x") + F.greatest("len", F.lit(0.0))).alias("x"), F.concat("path", F.array("node")).alias("path")), "level")
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError(f"trees are deeper than {LIMIT} levels")
+        level, found = scratch.grow(e.join(up, ["tree_id", "parent"]).select("tree_id", "node", "parent", (F.col("depth") + 1).alias("depth"), (F.col("x") + F.greatest("len", F.lit(0.0))).alias("x"), way.alias("path")), folder)
+    return found
 
 
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -68,6 +68,15 @@ class Scratch:
             drop_path(self.spark, made.pop(0))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def grow(self, df: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+        """Write a frame beside what ``folder`` (a ``path`` of this scratch) holds; returns it alone, and all of the folder.
+
+        However many rounds an iteration takes, what it has found stays one scan."""
+        self._n += 1
+        df.write.parquet(f"{folder}/{self._n}")
+        alone = self.spark.read.schema(df.schema).parquet(f"{folder}/{self._n}")
+        return alone, self.spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(folder)
+
     def drop(self, name: str) -> None:
         for p in self._made.pop(name, []):
             drop_path(self.spark, p)

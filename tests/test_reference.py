@@ -53,6 +53,26 @@ def test_regions(spark):
     assert len(characters.region_signatures(found, vd, ported).first().signature) == 64
 
 
+def test_deep_graphs(spark):
+    """A chain far beyond the depth of published graphs, beside a shallow graph and a cycle, is walked whole."""
+    n = 90
+    chain = [("deep", f"n{i:06d}", f"n{i + 1:06d}", "arg:000000") for i in range(n)]
+    edges = spark.createDataFrame([*chain, ("deep", "n000000", f"n{n:06d}", "arg:000001"), ("flat", "a", "b", "arg:000000"), ("ring", "a", "b", "arg:000000"), ("ring", "b", "a", "arg:000000")], EDGE)
+    near = {(r.graph_id, r.node_id, r.ancestor): r.depth for r in graphs.ancestors(edges, Scratch(spark, "t")).collect()}
+    assert near == {("flat", "b", "a"): 1, **{("ring", x, y): 1 + (x == y) for x in "ab" for y in "ab"}, **{("deep", f"n{j:06d}", f"n{i:06d}"): 1 if (i, j) == (0, n) else j - i for j in range(n + 1) for i in range(j)}}
+    nodes = spark.createDataFrame([("deep", f"n{i:06d}", "x", "{}") for i in range(n + 1)], VERTEX)
+    found = characters.regions(nodes, graphs.port_labels(edges.where("graph_id = 'deep'"), nodes.limit(0)), Scratch(spark, "t")).collect()
+    assert [(r.entry, r.exit, sorted(map(len, (r.left_path, r.right_path)))) for r in found] == [("n000000", f"n{n:06d}", [2, n + 1])]
+
+
+def test_deep_trees(spark):
+    tree = "tree_id string, parent string, child string, branch_length double"
+    placed = trees.placed(spark.createDataFrame([("t", f"n{i}", f"n{i + 1}", 0.5) for i in range(220)], tree), Scratch(spark, "t"))
+    assert {(r.node, r.depth, r.x, len(r.path)) for r in placed.collect()} == {(f"n{i}", i, i / 2, i + 1) for i in range(221)}
+    with pytest.raises(Exception, match="a cycle through a"):
+        trees.placed(spark.createDataFrame([("t", "r", "a", 1.0), ("t", "a", "b", 1.0), ("t", "b", "a", 1.0)], tree), Scratch(spark, "t"))
+
+
 def test_canonical_order_ignores_ids(spark):
     rng = random.Random(3)
     v, e = [("g", f"x{i}", rng.choice("ab"), "{}") for i in range(9)], []
