@@ -1,4 +1,4 @@
-"""Syntax graphs of source files: Python through its own parser, JSON through its values; bounded scans and tree digests.
+"""Syntax graphs of source files: Python through its own parser, JSON and TOML through their values; bounded scans and tree digests.
 
 files(path, content). Nulls: a null content is an empty file. Files that can't be parsed give a diagnostic, never an error.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import ast
 import json
+import os
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,31 +42,38 @@ def _python(text: str) -> list[tuple]:
     return rows
 
 
-def _json(text: str) -> list[tuple]:
-    rows, stack = [], [(json.loads(text), "", "root", 0)]
+def _data(value: object, frontend: str) -> list[tuple]:
+    rows, stack = [], [(value, "", "root", 0)]
     while stack:
         v, parent, field, at = stack.pop()
         me = f"s{len(rows):06d}"
-        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string"
-        rows.append((me, parent or None, field, at, kind, f"json.{kind}"))
+        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else type(v).__name__.casefold()
+        rows.append((me, parent or None, field, at, kind, f"{frontend}.{kind}"))
         inner = list(v.items()) if isinstance(v, dict) else [(str(i), x) for i, x in enumerate(v)] if isinstance(v, list) else []
         stack.extend((x, me, k, i) for i, (k, x) in reversed(list(enumerate(inner))))
     return rows
 
 
+#: Parsers by suffix; YAML is kept by ``wanted`` but has none.
+PARSERS = {".py": _python, ".json": lambda text: _data(json.loads(text), "json"), ".toml": lambda text: _data(tomllib.loads(text), "toml")}
+
+
 def syntax_nodes(files: DataFrame) -> DataFrame:
-    """One row per syntax node, parents first; a file that doesn't parse gives one row of kind ``parse_error``."""
+    """One row per syntax node, parents first; a file that doesn't parse gives one row of kind ``parse_error``, a file without
+    a parser one of kind ``not_parsed``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, text in zip(pdf["path"], pdf["content"]):
-                parse = _python if str(path).endswith(".py") else _json if str(path).endswith(".json") else None
-                if parse:
-                    try:
-                        rows += [(path, *r) for r in parse(text or "")]
-                    except (SyntaxError, ValueError, RecursionError) as e:
-                        rows.append((path, "s000000", None, "root", 0, "parse_error", type(e).__name__))
+                suffix = os.path.splitext(str(path).lower())[1]
+                if suffix not in PARSERS:
+                    rows.append((path, "s000000", None, "root", 0, "not_parsed", suffix))
+                    continue
+                try:
+                    rows += [(path, *r) for r in PARSERS[suffix](text or "")]
+                except (SyntaxError, ValueError, RecursionError) as e:
+                    rows.append((path, "s000000", None, "root", 0, "parse_error", type(e).__name__))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in NODES.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, NODES)

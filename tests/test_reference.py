@@ -281,3 +281,16 @@ def test_sources(spark, tmp_path, toys):
     files = spark.createDataFrame([("m.py", "def f(x):\n    return g(x) + 1\n"), ("bad.py", "def ("), ("j.json", '{"a":[1,null]}'), ("node_modules/x.json", "{}")], "path string, content string")
     kinds = {(r.path, r.kind) for r in source_graph.syntax_nodes(source_graph.wanted(files)).collect()}
     assert ("m.py", "Call") in kinds and ("bad.py", "parse_error") in kinds and ("j.json", "null") in kinds and not any(p.startswith("node") for p, _ in kinds)
+
+
+def test_toml_and_unparsed_sources(spark):
+    text = '[tool]\nname = "x"\nwhen = 2020-01-02\nsizes = [1, 2.5, true]\n'
+    files = spark.createDataFrame([("p.toml", text), ("UP.TOML", "a = 1"), ("bad.toml", "a ="), ("none.toml", None), ("c.yaml", "a: 1"), ("d.yml", None)], "path string, content string")
+    rows = source_graph.syntax_nodes(files).collect()
+    assert [(r.node_id, r.parent_id, r.field, r.position, r.operation) for r in rows if r.path == "p.toml"] == [
+        ("s000000", None, "root", 0, "toml.object"), ("s000001", "s000000", "tool", 0, "toml.object"), ("s000002", "s000001", "name", 0, "toml.string"), ("s000003", "s000001", "when", 1, "toml.date"),
+        ("s000004", "s000001", "sizes", 2, "toml.array"), ("s000005", "s000004", "0", 0, "toml.number"), ("s000006", "s000004", "1", 1, "toml.number"), ("s000007", "s000004", "2", 2, "toml.boolean"),
+    ]
+    assert sorted((r.path, r.kind, r.operation) for r in rows if r.path != "p.toml") == [
+        ("UP.TOML", "number", "toml.number"), ("UP.TOML", "object", "toml.object"), ("bad.toml", "parse_error", "TOMLDecodeError"), ("c.yaml", "not_parsed", ".yaml"), ("d.yml", "not_parsed", ".yml"), ("none.toml", "object", "toml.object"),
+    ]
