@@ -1,6 +1,7 @@
 """Small fixtures with known results: graphs, characters, distances, trees, alignment, text, catalogs, sources."""
 
 import json
+import os
 import random
 
 import pytest
@@ -294,3 +295,15 @@ def test_toml_and_unparsed_sources(spark):
     assert sorted((r.path, r.kind, r.operation) for r in rows if r.path != "p.toml") == [
         ("UP.TOML", "number", "toml.number"), ("UP.TOML", "object", "toml.object"), ("bad.toml", "parse_error", "TOMLDecodeError"), ("c.yaml", "not_parsed", ".yaml"), ("d.yml", "not_parsed", ".yml"), ("none.toml", "object", "toml.object"),
     ]
+
+
+def test_compact_lineage_doubles_every_nation(spark):
+    from graftline.plans import reference_graphs
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{sf}/nation.parquet"):
+        pytest.skip("no test tables here")
+    tips = {r.n_name for r in spark.read.parquet(f"{sf}/nation.parquet").select("n_name").collect()}
+    rows = reference_graphs.compact_lineage_edges(spark, sf).collect()
+    assert {(r.parent, r.child) for r in rows if r.parent.startswith("__group__:")} == {(f"__group__:{n}", f"{n}{x}") for n in tips for x in ("", "_copy")}
+    assert {r.child for r in rows if r.is_group} <= {f"__group__:{n}" for n in tips}
