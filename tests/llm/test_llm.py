@@ -178,3 +178,12 @@ def test_entity_match(spark):
     assert len(got & truth) >= 0.97 * len(truth) and not got - truth
     assert all(0 <= x.confidence <= 1 for x in rows) and len({x.catalog_id for x in rows}) == len(rows)
     assert entity_match.match(e.limit(0), r).count() == 0
+
+
+def test_blocks_hold_recall_at_any_size():
+    """A pair at the sketch cut is found no less often among millions of entries than among a few."""
+    found = lambda bits, tables: 1 - (1 - (1 - entity_match.FAR / 128) ** bits) ** tables
+    least = found(6, 32)
+    assert entity_match.forest(0) == entity_match.forest(10_000) == (6, 32)
+    for size in (100_000, 1_000_000, 10_000_000):
+        assert found(*entity_match.forest(size)) >= least - 0.01
