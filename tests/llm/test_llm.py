@@ -181,8 +181,8 @@ def test_entity_match(spark):
 
 
 def test_blocks_hold_recall_at_any_size():
-    """A pair at the sketch cut is found no less often among millions of entries than among a few."""
-    found = lambda bits, tables: 1 - (1 - (1 - entity_match.FAR / 128) ** bits) ** tables
+    """A pair at the cosine that the blocks are laid out for is found no less often among millions of entries than among a few."""
+    found = lambda bits, tables: 1 - (1 - (2 / 3) ** bits) ** tables
     least = found(6, 32)
     assert entity_match.forest(0) == entity_match.forest(10_000) == (6, 32)
     for size in (100_000, 1_000_000, 10_000_000):
