@@ -66,7 +66,8 @@ def match(free: DataFrame, reference: DataFrame, k: int = K) -> DataFrame:
     listed = listed.select("ref_id", F.col("family").alias("ref_family"), "generation", none, "tuning")
     same = queries.withColumnRenamed("family", "ref_family").join(listed, [*key, "ref_family"]).select("name", "ref_id", F.lit(0).alias("distance"))
     rest = queries.join(same.select("name"), "name", "left_anti")
-    near = _substrings(rest, k).join(_segments(listed, k), [*key, "ref_len", "seg", "text"]).select("name", "family", "ref_id", "ref_family").distinct().withColumn("distance", F.levenshtein("family", "ref_family"))
+    long = lambda df, c: df.where(F.length(c) >= LONG - 1)  # noqa: E731  shorter ones allow no edit, and their segments would be empty
+    near = _substrings(long(rest, "family"), k).join(_segments(long(listed, "ref_family"), k), [*key, "ref_len", "seg", "text"]).select("name", "family", "ref_id", "ref_family").distinct().withColumn("distance", F.levenshtein("family", "ref_family"))
     allowed = F.least(_edits(F.col("family")), _edits(F.col("ref_family")))
     swapped = (F.col("distance") == k) & (allowed == k - 1) & (_letters(F.col("family")) == _letters(F.col("ref_family")))
     scored = same.unionByName(near.where((F.col("distance") <= allowed) | swapped).select("name", "ref_id", "distance")).groupBy("name", "ref_id").agg(F.min("distance").alias("distance"))

@@ -6,6 +6,8 @@ table of their consistent form; pieces with marks are exploded to positioned cod
 decomposition and look-alike tables, their marks ordered by combining class, recomposed and joined back as a broadcast table
 if their count is within ``MARKED_BOUND`` (else by shuffle). Pieces are then put together again in order.
 
+Hangul written in single letters is put together to syllables by a broadcast table of all 11,172, made by rule.
+
 What is made equal: invisible characters (dropped), spacing (a run becomes one space), wide and narrow forms, ligatures,
 composed and decomposed letters, look-alike letters of other scripts, look-alike hyphens. Letter case, digits, accents,
 superscripts and everything else stays.
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.session import Scratch
+from graftline.skew import hot_join
 
 # Code points that show nothing (soft hyphen, joiners, direction marks, variation selectors, fillers, tags).
 INVISIBLE = r"[\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{E0000}-\x{E0FFF}]"
@@ -78,6 +81,22 @@ def _tables() -> tuple[list, list, list]:
     return changes, classes, pairs
 
 
+@lru_cache(1)
+def _syllables() -> list[tuple[str, str]]:
+    """(sequence, syllable): Hangul syllables taken apart to letters, or to a syllable and its last letter."""
+    found = []
+    for n in range(0xAC00, 0xD7A4):
+        parts = unicodedata.normalize("NFD", chr(n))
+        found.append((parts, chr(n)))
+        if len(parts) == 3:
+            found.append((unicodedata.normalize("NFC", parts[:2]) + parts[2], chr(n)))
+    return found
+
+
+#: A Hangul syllable in letters, or a syllable and a last letter.
+HANGUL = r"(?:[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}])"
+
+
 def _recompose(parts: Column) -> Column:
     """Canonical composition of an ordered array of (class, code point), the first of which is the base."""
     _, _, pairs = _tables()
@@ -98,15 +117,18 @@ def _marked_forms(spark: SparkSession, marked: DataFrame) -> DataFrame:
     changes, classes, _ = _tables()
     folds = F.broadcast(spark.createDataFrame([(c, d) for c, d, _ in changes], "cp string, folded string"))
     ccc = F.broadcast(spark.createDataFrame(classes, "cp string, ccc int"))
-    single = marked.select("piece", F.posexplode(F.split("piece", "")).alias("at", "cp")).where("cp <> ''")
+    syllables = F.broadcast(spark.createDataFrame(_syllables(), "base string, syllable string"))
+    base = marked.select("piece", F.regexp_extract("piece", r"^\P{M}+", 0).alias("base")).join(syllables, "base", "left")
+    whole = base.select("piece", F.concat(F.coalesce("syllable", "base"), F.expr("substring(piece, length(base) + 1)")).alias("joined"))
+    single = whole.select("piece", F.posexplode(F.split("joined", "")).alias("at", "cp")).where("cp <> ''")
     small = single.join(folds, "cp", "left").select("piece", "at", F.posexplode(F.split(F.coalesce("folded", "cp"), "")).alias("sub", "cp")).where("cp <> ''")
     placed = small.join(ccc, "cp", "left").select("piece", "at", "sub", "cp", F.coalesce("ccc", F.lit(0)).alias("ccc"))
     whole = placed.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("ccc", "at", "sub", "cp"))).alias("parts"))
     return whole.select("piece", _recompose(F.col("parts")).alias("form"))
 
 
-#: An untouched run (ASCII not followed by a mark), or one code point with its marks.
-PIECE = r"[\x00-\x7F]+(?!\p{M})|[\s\S]\p{M}*"
+#: An untouched run (ASCII not followed by a mark), or one code point or Hangul syllable with its marks.
+PIECE = rf"[\x00-\x7F]+(?!\p{{M}})|(?:{HANGUL}|[\s\S])\p{{M}}*"
 
 
 def consistent(rows: DataFrame, text_col: str, out: str = "form", scratch: Scratch | None = None) -> DataFrame:
@@ -121,13 +143,14 @@ def consistent(rows: DataFrame, text_col: str, out: str = "form", scratch: Scrat
     base = rows.select(*others, F.col(text_col).alias("_text"))
     exotic = F.coalesce(F.col("_text").rlike(r"[^\x00-\x7F]"), F.lit(False))
     seen = F.regexp_replace("_text", INVISIBLE, "")
-    marked = base.where(F.col("_text").rlike(r"\p{M}")).select(F.explode(F.regexp_extract_all(seen, F.lit(r"\P{M}\p{M}+"), F.lit(0))).alias("piece")).distinct()
+    marked = base.where(F.col("_text").rlike(r"\p{M}")).select(F.explode(F.regexp_extract_all(seen, F.lit(rf"(?:{HANGUL}|\P{{M}})\p{{M}}+"), F.lit(0))).alias("piece")).distinct()
     forms = scratch.cut(_marked_forms(spark, marked), "marked").withColumnRenamed("piece", "marked_piece")
     bounded = forms.limit(MARKED_BOUND + 1).count() <= MARKED_BOUND
-    single = F.broadcast(spark.createDataFrame([(c, k) for c, _, k in changes if c != k], "single_piece string, one string"))
+    single = F.broadcast(spark.createDataFrame([(c, k) for c, _, k in changes if c != k] + _syllables(), "single_piece string, one string"))
     numbered = base.where(exotic).withColumn("_row", F.monotonically_increasing_id())  # one number a text, before it is taken apart
     pieces = numbered.select(*others, "_row", F.posexplode_outer(F.regexp_extract_all(seen, F.lit(PIECE), F.lit(0))).alias("_pos", "_piece"))
-    pieces = pieces.withColumn("single_piece", F.when(F.length("_piece") == 1, F.col("_piece"))).withColumn("marked_piece", F.when((F.length("_piece") > 1) & F.substring("_piece", -1, 1).rlike(r"\p{M}"), F.col("_piece")))
+    marks = (F.length("_piece") > 1) & F.substring("_piece", -1, 1).rlike(r"\p{M}")
+    pieces = pieces.withColumn("single_piece", F.when((F.length("_piece") <= 3) & ~marks, F.col("_piece"))).withColumn("marked_piece", F.when(marks, F.col("_piece")))
     known = pieces.join(single, "single_piece", "left").join(F.broadcast(forms) if bounded else forms, "marked_piece", "left")
     whole = known.groupBy("_row").agg(*[F.first(c).alias(c) for c in others], F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("form", "one", "_piece").alias("s")))), lambda x: x["s"]), "").alias("_whole"))
     even = lambda c: F.regexp_replace(c, SPACING, " ")
@@ -148,6 +171,6 @@ def look_alikes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = classes.join(several, "form", "left_semi")
     pairs = several.select("form", F.col("raw").alias("raw_a")).join(several.select("form", F.col("raw").alias("raw_b")), "form").where("raw_a < raw_b").select("raw_a", "raw_b")
     members = digests.select("id", "raw")
-    left = pairs.join(members.select(F.col("raw").alias("raw_a"), F.col("id").alias("a")), "raw_a")
-    both = left.join(members.select(F.col("raw").alias("raw_b"), F.col("id").alias("b")), "raw_b").where("a <> b")
+    left = hot_join(members.select(F.col("raw").alias("raw_a"), F.col("id").alias("a")), pairs, ["raw_a"])
+    both = hot_join(left, members.select(F.col("raw").alias("raw_b"), F.col("id").alias("b")), ["raw_b"]).where("a <> b")
     return both.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).distinct()

@@ -19,7 +19,7 @@ def plain_form(t):
 
 TEXTS = [
     "naïve café", "naïve café", "nаïve cаfé", "ｎａïｖｅ　café", "naïve  \tcafé", "na​ïve caf­é", "naive cafe", "Naïve café", "x² x2", "x2 x2", "ﬁne‑tune", "fine-tune", "q̣̇", "q̣̇", "Ёлка й", "Ёлкa й", "", " ", None, "계산 그래프 计算图", "é" * 3000, "é" * 3000,
-    "naïve café",
+    "naïve café", "한국어 모델", unicodedata.normalize("NFD", "한국어 모델"), "한국어 모델", "한\u302e글\u0301", unicodedata.normalize("NFD", "한") + "\u302e글\u0301", "\u1112", "\u11ab\u0301", "각ᆨ", unicodedata.normalize("NFD", "각") + "ᆨ",
 ]
 
 
@@ -131,7 +131,42 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0
 
 
-def test_mixing(spark):
+def naive_windows(text, width, kinds):
+    """(types, values, repeats) of every window, by hand."""
+    ws = leakage.words(text or "", leakage._table())
+    for k in range(len(ws) - width + 1):
+        w = ws[k : k + width]
+        kind = ["#" if any(c.isdigit() for c in x) else kinds.get(x, "name") for x in w]
+        yield tuple(x if k == "word" else k for x, k in zip(w, kind)), tuple(w), tuple(w.index(x) for x in w)
+
+
+def test_reparameterised_questions(spark):
+    """Questions asked again with other names, numbers and units are all found, those with confused slots aren't."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("bdgklmnrst") + rng.choice("aeiou") for _ in range(3)).title()
+    forms = [
+        "A keeper called {a} pays {n} credits for every ledger that {b} sends, while {c} asks for {m} credits, and so {a} wonders how many ledgers {b} must send before the sum is even.",
+        "Suppose that the river {a} carries {n} barrels to the town of {b} in spring, but {m} barrels in autumn; how many barrels reach {b} when the river {a} and the river {c} run together?",
+    ]
+    fill = lambda f: f.format(a=name(), b=name(), c=name(), n=rng.randrange(100, 999), m=rng.randrange(100, 999))
+    items = [(f"i{k}", fill(forms[k % 2])) for k in range(12)]
+    confused = [f.replace("{a}", "{a1}", 1).format(a=name(), a1=name(), b=name(), c=name(), n=5, m=6) for f in forms]
+    docs = [(k, "Some text before. <span style=" + "x" * 250 + ">" + fill(forms[k % 2]) + "</span> And after.") for k in range(40)] + [(100, items[0][1]), (101, confused[0]), (102, None), (103, "")]
+    d, i = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {r.id for r in leakage.reparameterised(d, i).collect()}
+    assert set(range(40)) <= got and 100 not in got
+    table = leakage._table()
+    capital = {w.lower() for _, t in items for w in re.findall(r"(?<=[a-z,;] )([A-Z]\w+)", t)}
+    behind = [(b, _is) for _, t in items for a, b in zip(leakage.words(t, table), leakage.words(t, table)[1:]) for _is in [a.isdigit()]]
+    unit = {w for w in {b for b, _ in behind} if sum(x for b, x in behind if b == w) > sum(not x for b, x in behind if b == w)} | leakage.UNITS
+    kinds = {w: "unit" if w in unit else "word" for _, t in items for w in leakage.words(t, table) if w not in capital}
+    own = [w for _, t in items for w in naive_windows(t, 24, kinds)]
+    pairs, values = {(t, p) for t, _, p in own}, {v for _, v, _ in own}
+    assert got == {k for k, t in docs if any((a, p) in pairs and v not in values for a, v, p in naive_windows(t, 24, kinds))}
+    assert {(r.id, r.item_id) for r in leakage.leaks(d, i).where("id = 100").collect()} == {(100, "i0")}
+
+
+def test_mixing(spark, monkeypatch):
     rng = random.Random(2)
     docs = [(n, s, rng.choice(["en", "fr", None]), rng.choice(["a", "b"]), rng.randrange(50, 400)) for n, s in enumerate(["big"] * 900 + ["mid"] * 300 + ["small"] * 60 + ["none"] * 40)] + [(5000, None, "en", "a", 9), (None, "big", "en", "a", 9)]
     d = spark.createDataFrame(docs, "id int, source string, lang string, topic string, n_tokens int")
@@ -143,6 +178,10 @@ def test_mixing(spark):
     shares = {r.source: r.actual_share for r in mixing.shares(mixed, t).collect()}
     assert shares["ghost"] == 0 and all(abs(shares[s] - x / 0.9) < 0.01 for s, x in (("big", 0.4), ("mid", 0.3), ("small", 0.2)))
     assert {tuple(r) for r in mixing.mix(d.repartition(7), t).select("id", "copies").collect()} == {(r.id, r.copies) for r in rows}
+    margins = mixing.margins(d.where("id is not null and source <> 'none'"), mixed).collect()
+    assert {(r.kind, r.category) for r in margins} == {("lang", "en"), ("lang", "fr"), ("lang", None), ("topic", "a"), ("topic", "b")} and all(abs(r.goal_share - r.actual_share) < 0.02 for r in margins)
+    monkeypatch.setattr(mixing, "CELLS", 3)
+    assert {(r.id, r.copies) for r in mixing.mix(d, t).collect()} == {(r.id, r.copies) for r in rows}  # raked by the executors
     assert mixing.mix(d.limit(0), t).count() == 0
 
 
