@@ -72,12 +72,18 @@ def cyclic_graphs(vertices: DataFrame, edges: DataFrame, scratch) -> DataFrame:
             return left.select("graph_id").distinct().join(nodes.select("graph_id").distinct(), "graph_id", "left_semi")
 
 
+def json_text(c: Column) -> Column:
+    """A string as JSON text in quotes, escapes included."""
+    plain = F.concat(F.lit('"'), c, F.lit('"'))
+    return F.when(c.rlike(r'["\\\\\x00-\x1f]'), F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'^\{"s":([\s\S]*)\}$', 1)).otherwise(plain)
+
+
 def structural_digest(vertices: DataFrame, edges: DataFrame, schema_version: str = "2.0.0") -> DataFrame:
     """graph_id, structural_digest: SHA-256 of the canonical JSON of sorted edges and nodes; empty attributes are omitted.
 
-    A graph's rows are gathered, as its digest covers them in order; labels must need no JSON escapes."""
-    node = F.concat(F.when(F.col("attributes") == "{}", F.lit("{")).otherwise(F.concat(F.lit('{"attributes":'), F.col("attributes"), F.lit(","))), F.lit('"id":"'), F.col("node_id"), F.lit('","operation":"'), F.col("operation"), F.lit('"}'))
-    edge = F.concat(F.lit('{"position":"'), F.col("position"), F.lit('","source":"'), F.col("source"), F.lit('","target":"'), F.col("target"), F.lit('"}'))
+    A graph's rows are gathered, as its digest covers them in order."""
+    node = F.concat(F.when(F.col("attributes") == "{}", F.lit("{")).otherwise(F.concat(F.lit('{"attributes":'), F.col("attributes"), F.lit(","))), F.lit('"id":'), json_text(F.col("node_id")), F.lit(',"operation":'), json_text(F.col("operation")), F.lit("}"))
+    edge = F.concat(F.lit('{"position":'), json_text(F.col("position")), F.lit(',"source":'), json_text(F.col("source")), F.lit(',"target":'), json_text(F.col("target")), F.lit("}"))
     line = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text.alias("json")))), lambda x: x["json"]), ",")
     n = vertices.groupBy("graph_id").agg(line(["node_id"], node).alias("nodes"))
     e = edges.groupBy("graph_id").agg(line(["source", "target", "position"], edge).alias("edges"))
@@ -86,16 +92,20 @@ def structural_digest(vertices: DataFrame, edges: DataFrame, schema_version: str
 
 
 def ancestors(edges: DataFrame, scratch) -> DataFrame:
-    """(graph_id, node_id, ancestor, depth): least number of edges up to each ancestor; breadth first, one join a level.
+    """(graph_id, node_id, ancestor, depth): least number of edges up to each ancestor.
 
-    Ends when a level adds no ancestor, so graphs of any depth are walked whole and a cycle ends too."""
+    Depths double every round: an ancestor at a depth of k + 1 to 2 k lies at 1 to k above one at exactly k. A round joins
+    the pairs of exactly k with all found so far, so a graph of depth d takes log2(d) rounds; a cycle ends, too."""
+    key = ["graph_id", "node_id", "ancestor"]
     up = edges.select("graph_id", F.col("target").alias("node_id"), F.col("source").alias("ancestor")).distinct()
-    folder, depth = scratch.path("closure"), 1
+    folder, k = scratch.path("closure"), 1
     level, found = scratch.grow(up.withColumn("depth", F.lit(1)), folder)
     while not level.isEmpty():
-        depth += 1
-        step = level.select("graph_id", "node_id", F.col("ancestor").alias("via")).join(up.select("graph_id", F.col("node_id").alias("via"), "ancestor"), ["graph_id", "via"]).select("graph_id", "node_id", "ancestor").distinct()
-        level, found = scratch.grow(step.join(found, ["graph_id", "node_id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), folder)
+        first = level.where(F.col("depth") == k).select("graph_id", "node_id", F.col("ancestor").alias("via"))
+        above = found.select("graph_id", F.col("node_id").alias("via"), "ancestor", "depth")
+        far = first.join(above, ["graph_id", "via"]).groupBy(*key).agg((F.min("depth") + k).cast("int").alias("depth"))
+        level, found = scratch.grow(far.join(found.select(*key), key, "left_anti"), folder)
+        k *= 2
     return found
 
 
@@ -136,41 +146,89 @@ def _canonical(nodes: list[tuple[str, str, str]], links: list[tuple[str, str, st
         if len(rank) == len(set(colour.values())):
             break
         colour = new
-    tries = 0
-    best: tuple[tuple, list[str]] | None = None
-
-    def search(order: list[str], place: dict[str, int], waiting: dict[str, int], certificate: tuple) -> None:
-        nonlocal tries, best
-        while True:
-            if best is not None and certificate > best[0][: len(certificate)]:
-                return
-            if len(order) == len(colour):
-                if best is None or certificate < best[0]:
-                    best = (certificate, list(order))
-                return
-            ready = [n for n, k in waiting.items() if k == 0]
+    return _least_order(colour, ins, outs, budget)
+
+
+def _least_order(colour: dict[str, int], ins: dict[str, list], outs: dict[str, list], budget: int) -> list[str]:
+    """The topological order with the least certificate among those that take nodes of least colour first. Choices are kept on a
+    stack and undone, so one step costs what the node's edges cost, however large the graph is."""
+    waiting = {n: len(ins[n]) for n in colour}
+    ready: dict[int, set[str]] = {}
+    for n, k in waiting.items():
+        if k == 0:
+            ready.setdefault(colour[n], set()).add(n)
+    order: list[str] = []
+    place: dict[str, int] = {}
+    path: list[tuple] = []  # certificate so far
+    best: list[tuple] | None = None
+    best_order: list[str] = []
+    choices: list[tuple[int, list[str], bool]] = []  # length of the order, what is still to try, whether equal to the best so far
+    tries, equal = 0, False  # equal: the path is a prefix of the best certificate
+
+    def take(n: int | str) -> None:
+        ready[colour[n]].discard(n)
+        if not ready[colour[n]]:
+            del ready[colour[n]]
+        place[n] = len(order)
+        order.append(n)
+        for _, t in outs[n]:
+            waiting[t] -= 1
+            if waiting[t] == 0:
+                ready.setdefault(colour[t], set()).add(t)
+
+    def untake() -> None:
+        n = order.pop()
+        for _, t in outs[n]:
+            if waiting[t] == 0:
+                ready[colour[t]].discard(t)
+                if not ready[colour[t]]:
+                    del ready[colour[t]]
+            waiting[t] += 1
+        del place[n]
+        path.pop()
+        ready.setdefault(colour[n], set()).add(n)
+
+    def step(n: str) -> bool:
+        """Take a node; False if its certificate is worse than the best."""
+        nonlocal equal
+        sign = (colour[n], tuple(sorted((p, place[s]) for p, s in ins[n])))
+        if best is not None and equal:
+            other = best[len(path)]
+            if sign > other:
+                return False
+            equal = sign == other
+        take(n)
+        path.append(sign)
+        return True
+
+    alive = True
+    while True:
+        while alive and len(order) < len(colour):
             if not ready:
                 raise ValueError("the graph has a cycle")
-            least = min(colour[n] for n in ready)
-            twins = {}
-            for n in sorted(ready):
-                if colour[n] == least:
-                    twins.setdefault((tuple(sorted((p, s) for p, s in ins[n])), tuple(sorted((p, t) for p, t in outs[n]))), n)
+            least = ready[min(ready)]
+            if len(least) == 1:
+                alive = step(next(iter(least)))
+                continue
+            twins: dict[tuple, str] = {}
+            for n in sorted(least):
+                twins.setdefault((tuple(sorted(ins[n])), tuple(sorted(outs[n]))), n)
             options = list(twins.values())
             tries += len(options) - 1
             if tries > budget:
                 raise ValueError(f"more than {budget} choices to label a graph")
-            for n in options:
-                step = (colour[n], tuple(sorted((p, place[s]) for p, s in ins[n])))
-                if len(options) == 1:
-                    order, place, waiting = [*order, n], {**place, n: len(order)}, {k: v - sum(t == k for _, t in outs[n]) for k, v in waiting.items() if k != n}
-                    certificate = (*certificate, step)
-                else:
-                    search([*order, n], {**place, n: len(order)}, {k: v - sum(t == k for _, t in outs[n]) for k, v in waiting.items() if k != n}, (*certificate, step))
             if len(options) > 1:
-                return
-
-    search([], {}, {n: len(ins[n]) for n in colour}, ())
-    if best is None:
-        raise ValueError("the graph has a cycle")
-    return best[1]
+                choices.append((len(order), options[1:], equal))
+            alive = step(options[0])
+        if alive and (best is None or not equal):
+            best, best_order = list(path), list(order)
+        if not choices:
+            return best_order
+        length, rest, was_equal = choices.pop()
+        while len(order) > length:
+            untake()
+        if len(rest) > 1:
+            choices.append((length, rest[1:], was_equal))
+        # what was equal to an older best may differ from a newer one only behind this point
+        equal = best is not None and path == best[: len(path)]
+        alive = step(rest[0])

@@ -5,6 +5,9 @@ values. They are spread over hash buckets of the key (never over feeds or snapsh
 bucket holds a bounded share of the rows whatever one feed holds. Inside a bucket numpy sorts them once; consecutive
 snapshots are compared by ``searchsorted``. Only the keys that differ are joined back to the records.
 
+Hashes have 64 bits. Values are only compared for one key in two snapshots, so a change is missed with a probability of 2^-64
+each; keys of one feed must differ in their hash, which a billion of them do with a probability of 0.97.
+
 Nulls: records with a null snapshot or key are left out; a null row number sorts last. Null, blank and empty values are
 equal. A snapshot without records counts as delivered empty. Further columns are ignored. Empty tables give no rows.
 """

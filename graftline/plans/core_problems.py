@@ -79,9 +79,14 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """A fresh state in the shared folder, filled by one refresh; a second refresh would recompute nothing."""
+    """A fresh state in the shared folder and two refreshes: one with what the runs before the last day of reports delivered, one with
+    everything, late rows and repeats included; only the partitions that the second finds changed are computed again."""
     state = Scratch(spark, "p7").root + "/state-" + uuid.uuid4().hex
-    incremental.refresh(load(spark, sf, "observations"), load(spark, sf, "sync_reports"), state)
+    observations, reports = load(spark, sf, "observations"), load(spark, sf, "sync_reports")
+    last = reports.agg((F.max("started_at") - F.expr("interval 1 day")).alias("last_day"))
+    earlier = reports.join(F.broadcast(last), F.col("started_at") < F.col("last_day")).drop("last_day")
+    incremental.refresh(observations, earlier, state)
+    incremental.refresh(observations, reports, state)
     return incremental.processed(spark, state)
 
 

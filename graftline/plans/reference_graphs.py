@@ -132,6 +132,17 @@ def fork_join_regions(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("graph_id", "entry", "exit", F.element_at("left_path", 2).alias("left_branch"), F.element_at("right_path", 2).alias("right_branch"))
 
 
+@query(f"""WITH {B.CHAINS}, n AS (SELECT graph_id, max(at_no) AS last FROM vertices GROUP BY graph_id) SELECT graph_id, 'n000000' AS entry, printf('n%06d', last) AS exit, last + 1 AS long_branch FROM n WHERE last > 1""")
+def long_skip_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events as a chain with one more edge from the first to the last: one region as deep as the graph."""
+    v, e = B.chains(spark, sf)
+    scratch = Scratch(spark, "skips")
+    v, e = scratch.cut(v, "v"), scratch.cut(e, "e")
+    ends = v.groupBy("graph_id").agg(F.max("node_id").alias("target")).where("target > 'n000001'").select("graph_id", F.lit("n000000").alias("source"), "target", F.lit("arg:000001").alias("position"))
+    r = characters.regions(v, graphs.port_labels(e.unionByName(ends), v.limit(0)), scratch)
+    return r.select("graph_id", "entry", "exit", F.greatest(F.size("left_path"), F.size("right_path")).cast("bigint").alias("long_branch"))
+
+
 _PATH = "'[{\"attributes\":{},\"operation\":\"graph.input\"},{\"attributes\":{},\"input_port\":\"arg:000000\",\"operation\":\"' || X || '\"},{\"attributes\":{},\"input_port\":\"operand\",\"operation\":\"function.merge\"}]'"
 
 
@@ -362,9 +373,27 @@ def _aligned(spark: SparkSession, sf: str):
     return sides, edges, nodes, matched, alignment.operations(sides, edges, nodes, matched)
 
 
-@query()
+_LCS = f"""WITH RECURSIVE {_SIDES}, s AS (SELECT pair_id, list(token ORDER BY at_no) FILTER (side = 'left') AS a, list(token ORDER BY at_no) FILTER (side = 'right') AS b FROM lr GROUP BY pair_id),
+p AS (SELECT pair_id, coalesce(a, []) AS a, coalesce(b, []) AS b, len(coalesce(a, [])) AS n, len(coalesce(b, [])) AS m FROM s),
+t AS (SELECT pair_id, a, b, n, m, n AS i, list_transform(range(m + 1), lambda x: 0) AS cur, [list_transform(range(m + 1), lambda x: 0)] AS held FROM p
+  UNION ALL SELECT pair_id, a, b, n, m, i - 1, nxt, list_prepend(nxt, held) FROM (SELECT *, list_reverse(list_transform(range(1, m + 2), lambda k: list_max(list_transform(range(m + 2 - k, m + 2), lambda j: greatest(cur[j], CASE WHEN j <= m AND a[i] = b[j] THEN cur[j + 1] + 1 ELSE 0 END))))) AS nxt FROM t WHERE i > 0)),
+f AS (SELECT pair_id, a, b, n, m, held FROM t WHERE i = 0),
+w AS (SELECT pair_id, a, b, n, m, held, 1 AS i, 1 AS j, FALSE AS hit FROM f
+  UNION ALL SELECT pair_id, a, b, n, m, held, CASE WHEN a[i] = b[j] OR held[i + 1][j] = held[i][j] THEN i + 1 ELSE i END, CASE WHEN a[i] = b[j] OR held[i + 1][j] <> held[i][j] THEN j + 1 ELSE j END, a[i] = b[j] FROM w WHERE i <= n AND j <= m),
+mt AS (SELECT pair_id, printf('n%06d', i - 2) AS l, printf('n%06d', j - 2) AS r, i - 2 AS li, j - 2 AS ri FROM w WHERE hit),
+el AS (SELECT pair_id, side, at_no FROM lr WHERE at_no > 0), kept AS (SELECT x.pair_id, x.li, x.ri FROM mt x JOIN mt y ON x.pair_id = y.pair_id AND x.li = y.li + 1 AND x.ri = y.ri + 1)"""
+_OPS = """SELECT pair_id, CASE side WHEN 'left' THEN 'remove_node' ELSE 'add_node' END AS kind, printf('n%06d', at_no) AS ref FROM lr WHERE (side = 'left' AND (pair_id, at_no) NOT IN (SELECT (pair_id, li) FROM mt)) OR (side = 'right' AND (pair_id, at_no) NOT IN (SELECT (pair_id, ri) FROM mt))
+UNION ALL SELECT pair_id, CASE side WHEN 'left' THEN 'remove_edge' ELSE 'add_edge' END, printf('n%06d->n%06d@arg:000000', at_no - 1, at_no) FROM el WHERE (side = 'left' AND (pair_id, at_no) NOT IN (SELECT (pair_id, li) FROM kept)) OR (side = 'right' AND (pair_id, at_no) NOT IN (SELECT (pair_id, ri) FROM kept))"""
+
+
+@query(f"{_LCS} SELECT pair_id, l AS left_id, r AS right_id FROM mt")
+def lcs_node_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.node_matches(_sides(spark, sf)[0]).select("pair_id", "left_id", "right_id")
+
+
+@query(f"{_LCS} {_OPS}")
 def lcs_alignment_ops(spark: SparkSession, sf: str) -> DataFrame:
-    return _aligned(spark, sf)[4]
+    return _aligned(spark, sf)[4].select("pair_id", "kind", "ref")
 
 
 @query(f"WITH {_SIDES}, n AS (SELECT pair_id, token, count(*) FILTER (side = 'left') AS l, count(*) FILTER (side = 'right') AS r FROM lr GROUP BY ALL) SELECT pair_id, CAST(sum(abs(l - r)) AS BIGINT) AS bound FROM n GROUP BY pair_id")
@@ -372,11 +401,36 @@ def alignment_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.node_lower_bound(_sides(spark, sf)[0])
 
 
+@query(f"WITH {_SIDES}, e AS (SELECT x.pair_id, x.side, y.token AS s, x.token AS t FROM lr x JOIN lr y ON x.pair_id = y.pair_id AND x.side = y.side AND x.at_no = y.at_no + 1), n AS (SELECT pair_id, s, t, count(*) FILTER (side = 'left') AS l, count(*) FILTER (side = 'right') AS r FROM e GROUP BY ALL) SELECT pair_id, CAST(sum(abs(l - r)) AS BIGINT) AS bound FROM n GROUP BY pair_id")
+def alignment_edge_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.edge_lower_bound(*_sides(spark, sf))
+
+
 @query(f"WITH {_SIDES} SELECT pair_id, printf('n%06d', at_no) AS node_id, token FROM lr WHERE side = 'right'")
 def alignment_replay(spark: SparkSession, sf: str) -> DataFrame:
     """The right graphs' nodes, rebuilt from the left ones and the operations."""
-    sides, _, nodes, _, ops = _aligned(spark, sf)
-    return alignment.replay(sides, ops, nodes)
+    sides, edges, nodes, _, ops = _aligned(spark, sf)
+    return alignment.replay(sides.where("side = 'left'").select("pair_id", "node_id", "token"), edges.where("side = 'left'").drop("side"), ops, nodes)[0]
+
+
+@query(f"WITH {_SIDES} SELECT pair_id, printf('n%06d', at_no - 1) AS source, printf('n%06d', at_no) AS target, 'arg:000000' AS port, 1 AS n FROM lr WHERE side = 'right' AND at_no > 0")
+def alignment_replay_edges(spark: SparkSession, sf: str) -> DataFrame:
+    sides, edges, nodes, _, ops = _aligned(spark, sf)
+    return alignment.replay(sides.where("side = 'left'").select("pair_id", "node_id", "token"), edges.where("side = 'left'").drop("side"), ops, nodes)[1]
+
+
+@query(f"WITH {_SIDES} SELECT DISTINCT pair_id, true AS replayed FROM lr")
+def alignment_validation(spark: SparkSession, sf: str) -> DataFrame:
+    sides, edges, nodes, _, ops = _aligned(spark, sf)
+    return alignment.validation(sides, edges, nodes, ops).select("pair_id", "replayed")
+
+
+@query(f"""WITH {_SIDES}, c AS (SELECT pair_id, side, at_no, token, lag(token) OVER w AS p, lead(token) OVER w AS f FROM lr WINDOW w AS (PARTITION BY pair_id, side ORDER BY at_no)),
+g AS (SELECT pair_id, token, p, f, count(*) FILTER (side = 'left') AS n_left, count(*) FILTER (side = 'right') AS n_right FROM c GROUP BY ALL) SELECT pair_id, n_left, n_right, count(*) AS contexts FROM g WHERE n_left > 0 AND n_right > 0 AND n_left + n_right > 2 GROUP BY ALL""")
+def alignment_ambiguities(spark: SparkSession, sf: str) -> DataFrame:
+    sides, edges, nodes, _, _ = _aligned(spark, sf)
+    a = alignment.ambiguities(sides, edges, nodes)
+    return a.groupBy("pair_id", F.size("left_ids").cast("bigint").alias("n_left"), F.size("right_ids").cast("bigint").alias("n_right")).agg(F.count(F.lit(1)).alias("contexts"))
 
 
 def queries():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,7 +256,10 @@ def normalize_arxiv(spark: SparkSession, sf: str) -> DataFrame:
     return _keys(spark, sf).select("k", T.normalize_arxiv(raw).alias("arxiv"))
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') AS title FROM documents WHERE text IS NOT NULL")
+_FORMS = [(chr(n), unicodedata.normalize("NFKC", chr(n))) for n in range(0xA0, 0xFFF0) if unicodedata.decomposition(chr(n)).startswith("<") and len(unicodedata.normalize("NFKC", chr(n))) == 1 and unicodedata.category(chr(n))[0] in "LN"]
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(replace(replace(translate(text, '" + "".join(a for a, _ in _FORMS) + "', '" + "".join(b for _, b in _FORMS) + "'), 'ﬁ', 'fi'), 'ﬂ', 'fl')), '[\\p{L}\\p{N}]+'), ' ') AS title FROM documents WHERE text IS NOT NULL")
 def normalize_title(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").where("text is not null").select("doc_id", T.normalize_title(F.col("text")).alias("title"))
 
@@ -302,32 +307,44 @@ def content_digests(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", canonical.digest(raw).alias("digest"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_extract(text, '(?im)^\s*(?:references)\s*:?[ \t]*$([\s\S]*)$', 1) AS t FROM documents WHERE regexp_matches(text, '(?im)^\s*references\s*:?[ \t]*$')),
-e AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^[ \t]*\[(\d{1,4})\]', 1)) AS marker, unnest(string_split_regex(t, '(?m)^[ \t]*\[\d{1,4}\]')[2:]) AS raw FROM d),
-b AS (SELECT doc_id, CAST(marker AS INTEGER) AS marker, trim(regexp_replace(raw, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS entry FROM e) SELECT * FROM b WHERE entry <> ''""")
+_ENTRIES = r"""WITH d AS (SELECT doc_id, regexp_extract(text, '(?im)^\s*(?:(?:\d+(?:\.\d+)*|[IVXLC]+)[.)]?\s+)?(?:references|bibliography)\s*:?\s*$([\s\S]*)$', 1) AS t FROM documents WHERE regexp_matches(text, '(?im)^\s*(?:(?:\d+(?:\.\d+)*|[IVXLC]+)[.)]?\s+)?(?:references|bibliography)\s*:?\s*$')),
+e AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^[ \t]*(?:\[(\d{1,4})\]|\d{1,4}[.)])', 0)) AS marker, unnest(string_split_regex(t, '(?m)^[ \t]*(?:\[\d{1,4}\]|\d{1,4}[.)])')[2:]) AS raw FROM d),
+b AS (SELECT doc_id, CAST(CAST(regexp_extract(marker, '\d+') AS INTEGER) AS VARCHAR) AS marker, trim(regexp_replace(raw, '[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS entry FROM e WHERE true)"""
+
+
+@query(_ENTRIES + " SELECT * FROM b WHERE entry <> ''")
 def bibliography_entries(spark: SparkSession, sf: str) -> DataFrame:
     return documents.bibliography(load(spark, sf, "documents")).select("doc_id", "marker", "entry")
 
 
-@query()
+@query("SELECT o_orderkey AS doc_id, unnest(['[1, 3–4]', 'Doe et al. (2020)']) AS marker, unnest([4, 17]) AS start, unnest([12, 34]) AS end, unnest(['marker:1 marker:3 marker:4', 'author_year:doe:2020']) AS keys FROM orders")
 def citation_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.mentions(load(spark, sf, "documents"))
+    """One text with both forms of citations for each order; what stands behind the references isn't cited."""
+    d = load(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("See [1, 3–4] and Doe et al. (2020).\n1. References\n[1] Roe (1999)").alias("text"))
+    return documents.mentions(d).withColumn("keys", F.array_join("keys", " "))
 
 
-@query()
+@query("""WITH c AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 AS k FROM orders) SELECT doc_id, unnest(['author_year:doe:2020', 'marker:1', 'marker:2', 'marker:3']) AS key, unnest([1, 1, 1, 1]) AS n, unnest(['resolved', 'resolved', CASE k WHEN 0 THEN 'ambiguous' ELSE 'resolved' END, 'unresolved']) AS status, unnest(['1', '1', CASE k WHEN 0 THEN NULL ELSE '2' END, NULL]) AS marker FROM c""")
 def resolve_citations(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents")
+    """A third of the texts list two entries under one number."""
+    twice = F.when(F.col("o_orderkey") % 3 == 0, "\n2. Poe, 2002").otherwise("")
+    d = load(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("In [1-3] and by Doe, 2020.\nREFERENCES\n1. On trees. A. Doe, 2020\n2) B. Roe 2001"), twice).alias("text"))
     return documents.resolve_mentions(documents.mentions(d), documents.bibliography(d))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS k FROM orders) SELECT 'e' || k AS entry_id, CASE WHEN k % 4 = 0 THEN 'resolved' WHEN k % 4 = 1 THEN 'ambiguous' WHEN k % 4 = 2 THEN 'resolved' ELSE 'unresolved' END AS status, CASE k % 4 WHEN 0 THEN 'doi' WHEN 1 THEN 'title' WHEN 2 THEN 'author_year' END AS rule, CASE WHEN k % 4 IN (0, 2) THEN 't' || k END AS target_id FROM e""")
+@query("""WITH e AS (SELECT o_orderkey AS k FROM orders) SELECT 'e' || k AS entry_id, CASE WHEN k % 4 = 0 THEN 'resolved' WHEN k % 4 = 1 THEN 'resolved' WHEN k % 4 = 2 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE k % 4 WHEN 0 THEN 'doi' WHEN 1 THEN 'title' WHEN 2 THEN 'author_year' END AS rule, CASE k % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.92 END::DOUBLE AS confidence, CASE WHEN k % 4 IN (0, 1) THEN 't' || k END AS target_id FROM e""")
 def resolve_bibliography(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries hold a DOI, or the title somewhere in their text, or only author and year, which two targets share."""
     k = F.col("k")
     s = k.cast("string")
-    none = F.lit(None).cast("string")
-    e = _keys(spark, sf).select(F.concat(F.lit("e"), s).alias("entry_id"), F.when(k % 4 == 0, F.concat(F.lit("10.1/"), s)).alias("doi"), none.alias("arxiv_id"), none.alias("url"), F.when(k % 4 == 1, F.concat(F.lit("title "), s)).alias("title"), F.when(k % 4 == 2, F.concat(F.lit("author"), s)).alias("author"), F.when(k % 4 == 2, F.lit(2020)).alias("year"))
-    c = _keys(spark, sf).withColumn("twice", F.explode(F.when(k % 4 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("")))))
-    c = c.select(F.concat(F.lit("t"), s, F.col("twice")).alias("target_id"), F.concat(F.lit("10.1/"), s).alias("doi"), none.alias("arxiv_id"), none.alias("url"), F.concat(F.lit("title "), s).alias("title"), F.concat(F.lit("author"), s).alias("author"), F.lit(2020).alias("year"))
+    none = lambda kind: F.lit(None).cast(kind)
+    title = F.concat(F.lit("The long title number "), s, F.lit(" of all"))
+    e = _keys(spark, sf).select(
+        F.concat(F.lit("e"), s).alias("entry_id"), F.when(k % 4 == 1, F.concat(F.lit("Doe, J. ("), F.upper(title), F.lit("). 2020"))).otherwise(F.concat(F.lit("short "), s)).alias("entry"), F.when(k % 4 == 0, F.concat(F.lit("10.1/"), s)).alias("doi"), none("string").alias("arxiv_id"),
+        F.array().cast("array<string>").alias("urls"), F.when(k % 4 == 2, F.concat(F.lit("author"), s)).alias("author"), F.when(k % 4 == 2, F.lit(2020)).alias("year"),
+    )
+    c = _keys(spark, sf).withColumn("twice", F.explode(F.when(k % 4 == 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("")))))
+    c = c.select(F.concat(F.lit("t"), s, F.col("twice")).alias("target_id"), F.concat(title, F.col("twice")).alias("title"), F.concat(F.lit("10.1/"), s).alias("doi"), none("string").alias("arxiv_id"), F.array().cast("array<string>").alias("urls"), F.concat(F.lit("author"), s).alias("author"), F.lit(2020).alias("year"))
     return documents.resolve_bibliography(e, c)
 
 
@@ -341,12 +358,14 @@ def paper_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return documents.paper_sentences(documents.normalized_papers(load(spark, sf, "documents")))
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT DISTINCT kind, id FROM (SELECT 'operator' AS kind, event_type AS id FROM events UNION ALL SELECT 'graph', CAST(user_id AS VARCHAR) FROM events UNION ALL SELECT 'character', character_id FROM profile_characters WHERE character_id IS NOT NULL)) GROUP BY ALL")
+@query(f"""WITH {B.ORDERS}, pc AS (SELECT DISTINCT model_id, character_id FROM profile_characters WHERE character_id IS NOT NULL AND radius IS NOT NULL), pr AS (SELECT DISTINCT model_id, structural_signature FROM profile_characters WHERE structural_signature IS NOT NULL AND radius IS NULL)
+SELECT 'graph' AS target_kind, count(*) AS n FROM g UNION ALL SELECT 'operator', count(*) FROM vertices UNION ALL SELECT 'edge', count(*) FROM edges UNION ALL SELECT 'character', count(*) FROM pc UNION ALL SELECT 'region', count(*) FROM pr""")
 def annotation_targets(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events")
-    c = load(spark, sf, "profile_characters").where("character_id is not null").select(F.lit("character").alias("kind"), F.col("character_id").alias("id"))
-    t = e.select(F.lit("operator").alias("kind"), F.col("event_type").alias("id")).unionByName(e.select(F.lit("graph").alias("kind"), F.col("user_id").cast("string").alias("id"))).unionByName(c)
-    return t.distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """All five kinds of what an annotation may point to, counted."""
+    v, e = B.orders_dag(spark, sf)
+    held = load(spark, sf, "profile_characters").select(F.col("model_id").alias("graph_id"), "character_id", F.col("structural_signature").alias("signature"), "radius")
+    found = documents.target_catalog(v.select("graph_id").distinct(), v, e, held.where("character_id is not null and radius is not null"), held.where("signature is not null and radius is null"))
+    return found.groupBy("target_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id AS annotation_id, CASE WHEN doc_id % 4 = 0 THEN 'excerpt_differs' WHEN doc_id % 4 = 1 THEN 'bad_span' WHEN doc_id % 4 = 2 THEN 'unknown_target' END AS problem FROM documents WHERE text IS NOT NULL AND length(text) >= 10")
@@ -363,10 +382,43 @@ def json_syntax_graph(spark: SparkSession, sf: str) -> DataFrame:
     return source_graph.flat_json_nodes(load(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), F.col("props").alias("content")))
 
 
-@query("SELECT 'e' || event_id || '.json' AS path, unnest(['s000000', 's000001']) AS node_id, unnest(['json.object', 'json.number']) AS operation FROM events")
+_SOURCES = "ev AS (SELECT event_id, event_id % 3 AS k FROM events)"
+_NODES = {
+    0: (["n000000", "n000001", "n000002"], ["data", "data", "data"], ["data.object", "data.number", "data.array"]),
+    1: (
+        [f"n{i:06d}" for i in range(8)], ["syntax", "control", "operator", "operator", "syntax", "operator", "operator", "syntax"],
+        ["python.ast:module", "python.ast:assign", "python.ast:name", "python.call:f", "python.ast:store", "python.ast:name", "python.ast:constant", "python.ast:load"],
+    ),
+    2: (["n000000", "n000001", "n000002"], ["data", "data", "data"], ["data.object", "data.object", "data.boolean"]),
+}
+_SUFFIX = ["json", "py", "toml"]
+_SYNTAX_SQL = f"WITH {_SOURCES} " + " UNION ALL ".join(f"SELECT 'e' || event_id || '.{_SUFFIX[k]}' AS path, unnest({ids}) AS node_id, unnest({kinds}) AS kind, unnest({ops}) AS operation FROM ev WHERE k = {k}" for k, (ids, kinds, ops) in _NODES.items())
+
+
+def _source_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON, Python or TOML file for each event."""
+    k, n = F.col("event_id") % 3, F.col("event_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit('{"b": [], "a": '), n, F.lit("}"))).when(k == 1, F.concat(F.lit("x = f("), n, F.lit(")\n"))).otherwise(F.lit("[part]\non = true\n"))
+    return load(spark, sf, "events").select(F.concat(F.lit("e"), n, F.lit("."), F.element_at(F.array(*map(F.lit, _SUFFIX)), (k + 1).cast("int"))).alias("path"), text.alias("content"))
+
+
+@query(_SYNTAX_SQL)
 def source_syntax_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    files = load(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("content"))
-    return source_graph.syntax_nodes(files).select("path", "node_id", "operation")
+    return source_graph.syntax_nodes(_source_files(spark, sf)).select("path", "node_id", "kind", "operation")
+
+
+@query(f"WITH {_SOURCES} SELECT CASE k WHEN 0 THEN 'json' WHEN 1 THEN 'py' ELSE 'toml' END AS suffix, CASE k WHEN 1 THEN 'syntax' ELSE 'field' END AS kind, count(*) * (CASE k WHEN 1 THEN 7 ELSE 2 END) AS n FROM ev GROUP BY k")
+def source_syntax_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of the syntax graphs, counted by kind of file and edge."""
+    e = source_graph.syntax_edges(_source_files(spark, sf))
+    return e.groupBy(F.regexp_extract("path", r"([a-z]+)$", 1).alias("suffix"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT status, count(*) AS files FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'excluded_folder' WHEN event_id % 5 = 1 THEN 'unknown_suffix' WHEN event_id % 5 = 2 THEN 'outside' ELSE 'kept' END AS status FROM events) GROUP BY status")
+def scan_exclusions(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("event_id") % 5, F.col("event_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit("a/vendor/"), n, F.lit(".py"))).when(k == 1, F.concat(n, F.lit(".bin"))).when(k == 2, F.concat(F.lit("../"), n, F.lit(".py"))).otherwise(F.concat(F.lit("build/"), n, F.lit(".JSON")))
+    return source_graph.exclusions(load(spark, sf, "events").select(path.alias("path"), F.col("props").alias("content")))
 
 
 @query("SELECT source, count(*) AS files, sha256(string_agg(printf('%09d', doc_id) || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source")

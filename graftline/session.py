@@ -24,11 +24,14 @@ def get_spark(app: str = "graftline", master: str | None = None, shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where the setting is missing."""
+    """The folder that all executors share (``spark.checkpoint.dir``). Where the setting is missing, a local one serves a session in
+    one process (``local[...]``); on a cluster the call fails, as executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graftline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

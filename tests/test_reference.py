@@ -1,5 +1,6 @@
 """Small fixtures with known results: graphs, characters, distances, trees, alignment, text, catalogs, sources."""
 
+import hashlib
 import json
 import os
 import random
@@ -56,7 +57,7 @@ def test_regions(spark):
 
 def test_deep_graphs(spark):
     """A chain far beyond the depth of published graphs, beside a shallow graph and a cycle, is walked whole."""
-    n = 90
+    n = 500
     chain = [("deep", f"n{i:06d}", f"n{i + 1:06d}", "arg:000000") for i in range(n)]
     edges = spark.createDataFrame([*chain, ("deep", "n000000", f"n{n:06d}", "arg:000001"), ("flat", "a", "b", "arg:000000"), ("ring", "a", "b", "arg:000000"), ("ring", "b", "a", "arg:000000")], EDGE)
     near = {(r.graph_id, r.node_id, r.ancestor): r.depth for r in graphs.ancestors(edges, Scratch(spark, "t")).collect()}
@@ -66,6 +67,38 @@ def test_deep_graphs(spark):
     assert [(r.entry, r.exit, sorted(map(len, (r.left_path, r.right_path)))) for r in found] == [("n000000", f"n{n:06d}", [2, n + 1])]
 
 
+def test_outputs_of_attributes_are_no_joins(spark):
+    v = spark.createDataFrame([("g", n, op, "{}") for n, op in (("a", "graph.input"), ("b", "x"), ("c", "x"), ("d", "data.attribute"), ("e", "quote \"it\""))], VERTEX)
+    e = spark.createDataFrame([("g", s, t, "arg:000000") for s, t in (("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("b", "e"), ("c", "e"))], EDGE)
+    ported = graphs.port_labels(e, v.limit(0))
+    found = characters.regions(v, ported, Scratch(spark, "t"))
+    assert [(r.entry, r.exit) for r in found.collect()] == [("a", "e")]
+    digest = graphs.structural_digest(v, e).first().structural_digest
+    payload = {"edges": sorted(({"position": "arg:000000", "source": s, "target": t} for s, t in (("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("b", "e"), ("c", "e"))), key=lambda x: (x["source"], x["target"])), "nodes": [{"id": n, "operation": op} for n, op in (("a", "graph.input"), ("b", "x"), ("c", "x"), ("d", "data.attribute"), ("e", "quote \"it\""))], "schema_version": "2.0.0"}
+    assert digest == hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_canonical_order_of_large_and_tied_graphs(spark):
+    rng = random.Random(3)
+    links = [(f"{i}", f"{i + 1}", "p") for i in range(2999)] + [(f"{i}", f"{i + 2}", "q") for i in range(0, 2990, 5)]
+    ids = [str(i) for i in range(3000)]
+    assert graphs._canonical([(n, "x", "{}") for n in ids], links, 100) == ids
+    for _ in range(30):  # equal graphs under shuffled names get equal certificates
+        n = rng.randrange(2, 8)
+        ops = [rng.choice("ab") for _ in range(n)]
+        edges = [(i, j, rng.choice("pq")) for j in range(n) for i in range(j) if rng.random() < 0.4]
+        forms = set()
+        for _ in range(4):
+            name = rng.sample([f"v{k}" for k in range(n)], n)
+            nodes = [(name[i], ops[i], "{}") for i in range(n)]
+            rng.shuffle(nodes)
+            order = graphs._canonical(nodes, [(name[i], name[j], p) for i, j, p in rng.sample(edges, len(edges))], 10_000)
+            at = {x: k for k, x in enumerate(order)}
+            forms.add((tuple(dict((a, b) for a, b, _ in nodes)[x] for x in order), tuple(sorted((at[name[i]], at[name[j]], p) for i, j, p in edges))))
+            assert all(at[name[i]] < at[name[j]] for i, j, _ in edges)
+        assert len(forms) == 1
+
+
 def test_deep_trees(spark):
     tree = "tree_id string, parent string, child string, branch_length double"
     placed = trees.placed(spark.createDataFrame([("t", f"n{i}", f"n{i + 1}", 0.5) for i in range(220)], tree), Scratch(spark, "t"))
@@ -212,12 +245,26 @@ def test_alignment(spark):
     assert {r.kind: r["count"] for r in ops.groupBy("kind").count().collect()} == {"add_node": 1, "remove_edge": 1, "add_edge": 2}
     assert {r.kind: r["count"] for r in alignment.inverted(ops).groupBy("kind").count().collect()} == {"remove_node": 1, "add_edge": 1, "remove_edge": 2}
     assert alignment.node_lower_bound(s).first().bound == 1
-    assert alignment.replay(s, ops, nodes).exceptAll(s.where("side = 'right'").select("pair_id", "node_id", "token")).isEmpty()
+    assert {tuple(r) for r in alignment.validation(s, e, nodes, ops).collect()} == {("p", 4.0, 2, False, True)}
+    assert [r.kind for r in alignment.replay_order(ops).orderBy("step").collect()] == ["remove_edge", "add_node", "add_edge", "add_edge"]
+    assert alignment.edge_lower_bound(s, e).first().bound == 3
+    digests = spark.createDataFrame([("p", "b", "a")], "pair_id string, left_digest string, right_digest string")
+    so, eo = alignment.oriented(s, digests), alignment.oriented(e, digests)
+    turned = alignment.node_matches(so)
+    back = alignment.restored(turned, digests)
+    assert {(r.left_id, r.right_id) for r in back.collect()} == {("l0", "r0"), ("l1", "r2")}
+    solved = alignment.operations(so, eo, turned, alignment.edge_matches(eo, turned))
+    assert {(r.kind, r.ref, r.operation_id) for r in alignment.restored(solved, digests).collect()} == {(r.kind, r.ref, r.operation_id) for r in ops.collect()}
+    assert alignment.ambiguities(s, e, nodes).count() == 0
+    with pytest.raises(ValueError):
+        alignment.operations(s, e, nodes, alignment.edge_matches(e, nodes), {"add_node": 0.0})
     rng = random.Random(1)
     for _ in range(50):
         a, b = (["".join(rng.choices("abc", k=1)) for _ in range(rng.randrange(8))] for _ in "ab")
         best = max(bin(m).count("1") for m in range(1 << len(a)) if is_sub([x for i, x in enumerate(a) if m >> i & 1], b))
         assert len(alignment.longest_common(a, b)) == best
+    same = list(map(str, range(5000)))
+    assert alignment.longest_common(same, list(same))[-1] == (4999, 4999)  # equal graphs need no table
 
 
 def is_sub(x, b):
@@ -242,11 +289,24 @@ def test_text(spark):
     assert documents.sentences("We use e.g. two steps. Fig. 2 shows 3.5 points. Done!") == [(0, 22), (23, 47), (48, 53)]
     assert [s[0] for s in documents.sections(text)] == ["Front matter", "Method", "References"]
     b = documents.bibliography(docs)
-    assert {(r.marker, r.year, r.author, r.doi) for r in b.collect()} == {(1, 2020, "trees", "10.1000/x"), (2, 2021, "b", None), (3, 2022, "more", None)}
+    assert {(r.marker, r.year, r.author, r.doi) for r in b.collect()} == {("1", 2020, "trees", "10.1000/x"), ("2", 2021, "b", None), ("3", 2022, "more", None)}
+    assert all(text[r.start : r.end].split() == f"[{r.marker}] {r.entry}".split() and r.source_digest == hashlib.sha256(text.encode()).hexdigest() for r in b.collect())
+    listed = documents.references("x\n2. Bibliography:\n1. Doe, J. https://a.b/c. 2019a\n 2) arXiv: hep-th/9901001v2, 1999\n")
+    assert [(r[0], r[5], r[6], r[7], r[8]) for r in listed] == [("1", None, 2019, "c", ["https://a.b/c"]), ("2", "hep-th/9901001", 1999, "v", [])]
+    targets = spark.createDataFrame([("t1", "On trees and their long branches", None, None, [], None, None), ("t2", "x", "10.1000/x", None, [], None, None), ("t3", "y", None, None, ["https://a.b/c"], "b", 2021), ("t4", "z", None, None, [], "b", 2021)], "target_id string, title string, doi string, arxiv_id string, urls array<string>, author string, year int")
+    evidence = {(r.marker, r.start): (r.target_ids, r.confidence) for r in documents.citation_evidence(docs, targets).collect()}
+    assert evidence == {("[1]", 17): (["t2"], 1.0), ("[2–3]", 22): ([], 0.0)}
+    entries = spark.createDataFrame([("e1", "Doe. On Trees, and THEIR long branches. 2020", None, None, [], None, None), ("e2", "short title", None, None, [], "b", 2021), ("e3", "none", None, None, ["https://a.b/c"], "b", 2021)], "entry_id string, entry string, doi string, arxiv_id string, urls array<string>, author string, year int")
+    assert {(r.entry_id, r.status, r.rule, r.confidence, r.target_id) for r in documents.resolve_bibliography(entries, targets).collect()} == {("e1", "resolved", "title", 0.92, "t1"), ("e2", "ambiguous", "author_year", None, None), ("e3", "resolved", "url", 0.98, "t3")}
     m = documents.resolve_mentions(documents.mentions(docs), b)
     assert {(r.key, r.status) for r in m.collect()} == {("marker:1", "resolved"), ("marker:2", "resolved"), ("marker:3", "resolved")}
     once = documents.normalize_paper("A wrap-\nped line\nof text.\r\n\r\nMETHOD\nmore")
-    assert documents.normalize_paper(once) == once and "wrapped line of text." in once
+    assert once == "A wrapped line of text.\n\nMETHOD\nmore" and documents.normalize_paper(once) == once
+    assert documents.normalize_paper("one\x07two state-of\n\nthe well-\nknown\n\n\nIV. results here\n\nbody") == "one two state-of\n\nthe wellknown\n\nIV. results here\nbody"
+    assert [documents.heading(x) for x in ("iv) some results", "2.1 the data:", "some words", "Method", "A B.", "x" * 101, "")] == ["some results", "the data", None, "Method", None, None, None]
+    two = "A line that\ngoes on. The U.S. Army (see fig. 2) won.\" Next"
+    assert [two[a:b] for a, b in documents.sentences(two)] == ["A line that\ngoes on.", "The U.S. Army (see fig. 2) won.\"", "Next"]
+    assert documents.paper_profiles(docs).where("doc_id = 1").first().n_sections == 3
 
 
 def test_catalog(spark):
@@ -280,20 +340,25 @@ def test_sources(spark, tmp_path, toys):
     assert v.exceptAll(toys[0]).isEmpty() and g.where("graph_id = 'beta' and edge_count = 3").count() == 1
     assert "config_name: x" in writers.export_dataset({"x": v.withColumn("payload_cbor", F.lit("z"))}, str(tmp_path / "out"))
     files = spark.createDataFrame([("m.py", "def f(x):\n    return g(x) + 1\n"), ("bad.py", "def ("), ("j.json", '{"a":[1,null]}'), ("node_modules/x.json", "{}")], "path string, content string")
-    kinds = {(r.path, r.kind) for r in source_graph.syntax_nodes(source_graph.wanted(files)).collect()}
-    assert ("m.py", "Call") in kinds and ("bad.py", "parse_error") in kinds and ("j.json", "null") in kinds and not any(p.startswith("node") for p, _ in kinds)
+    rows = source_graph.syntax_nodes(source_graph.wanted(files)).collect()
+    kinds = {(r.path, r.kind, r.operation) for r in rows}
+    assert ("m.py", "operator", "python.call:g") in kinds and ("bad.py", "parse_error", "SyntaxError") in kinds and ("j.json", "data", "data.null") in kinds and not any(p.startswith("node") for p, _, _ in kinds)
+    assert [(r.operation, r.attributes) for r in rows if r.path == "m.py"][:3] == [("python.ast:module", "{}"), ("python.ast:functiondef", '{"parameter_count":1}'), ("python.ast:arguments", "{}")]
+    assert {r.status: r.files for r in source_graph.exclusions(files).collect()} == {"kept": 3, "excluded_folder": 1}
 
 
 def test_toml_and_unparsed_sources(spark):
     text = '[tool]\nname = "x"\nwhen = 2020-01-02\nsizes = [1, 2.5, true]\n'
     files = spark.createDataFrame([("p.toml", text), ("UP.TOML", "a = 1"), ("bad.toml", "a ="), ("none.toml", None), ("c.yaml", "a: 1"), ("d.yml", None)], "path string, content string")
     rows = source_graph.syntax_nodes(files).collect()
-    assert [(r.node_id, r.parent_id, r.field, r.position, r.operation) for r in rows if r.path == "p.toml"] == [
-        ("s000000", None, "root", 0, "toml.object"), ("s000001", "s000000", "tool", 0, "toml.object"), ("s000002", "s000001", "name", 0, "toml.string"), ("s000003", "s000001", "when", 1, "toml.date"),
-        ("s000004", "s000001", "sizes", 2, "toml.array"), ("s000005", "s000004", "0", 0, "toml.number"), ("s000006", "s000004", "1", 1, "toml.number"), ("s000007", "s000004", "2", 2, "toml.boolean"),
+    assert [(r.node_id, r.operation) for r in rows if r.path == "p.toml"] == [
+        ("n000000", "data.object"), ("n000001", "data.object"), ("n000002", "data.string"), ("n000003", "data.array"), ("n000004", "data.number"), ("n000005", "data.number"), ("n000006", "data.boolean"), ("n000007", "data.date"),
+    ]
+    assert [(r.source, r.target, r.kind, r.position, r.field) for r in source_graph.syntax_edges(files).where("path = 'p.toml'").collect()][:4] == [
+        ("n000001", "n000000", "field", "000000", "tool"), ("n000002", "n000001", "field", "000000", "name"), ("n000003", "n000001", "field", "000001", "sizes"), ("n000004", "n000003", "item", "000000", None),
     ]
     assert sorted((r.path, r.kind, r.operation) for r in rows if r.path != "p.toml") == [
-        ("UP.TOML", "number", "toml.number"), ("UP.TOML", "object", "toml.object"), ("bad.toml", "parse_error", "TOMLDecodeError"), ("c.yaml", "not_parsed", ".yaml"), ("d.yml", "not_parsed", ".yml"), ("none.toml", "object", "toml.object"),
+        ("UP.TOML", "data", "data.number"), ("UP.TOML", "data", "data.object"), ("bad.toml", "parse_error", "TOMLDecodeError"), ("c.yaml", "not_parsed", ".yaml"), ("d.yml", "not_parsed", ".yml"), ("none.toml", "data", "data.object"),
     ]
 
 
