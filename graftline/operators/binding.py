@@ -66,3 +66,46 @@ def character_sources(states: DataFrame, admitted: DataFrame) -> DataFrame:
     held = t.join(states.select(F.col("taxon").alias("donor"), "character"), ["donor", "character"], "left_semi")
     d = held.groupBy("taxon", "character").agg(F.array_join(F.array_sort(F.collect_set("donor")), ",").alias("donors"))
     return states.select("taxon", "character").join(d, ["taxon", "character"], "left").withColumn("origin", F.when(F.col("donors").isNotNull(), "transfer").otherwise("unexplained"))
+
+
+# Roles that evidence of contact may have.
+ROLES = ["awareness", "character_transfer", "provenance"]
+
+
+def normalized_evidence(evidence: DataFrame) -> DataFrame:
+    """evidence(source_id, target_id, causal_role, strength[, character, value, ...]) once for each content, with evidence_id (a digest) and
+    problem: null_end, self, unknown_role, bad_strength (not in [0, 1]) or null."""
+    columns = sorted(c for c in evidence.columns if c not in ("evidence_id", "problem"))
+    once = evidence.select(*columns).withColumn("evidence_id", F.sha2(F.to_json(F.struct(*columns)), 256)).dropDuplicates(["evidence_id"])
+    strength = F.col("strength").cast("double")
+    return once.withColumn(
+        "problem", F.when(F.col("source_id").isNull() | F.col("target_id").isNull(), "null_end").when(F.col("source_id") == F.col("target_id"), "self").when(~F.coalesce(F.col("causal_role").isin(ROLES), F.lit(False)), "unknown_role").when(strength.isNull() | F.isnan(strength) | (strength < 0) | (strength > 1), "bad_strength")
+    )
+
+
+def transfer_problems(evidence: DataFrame, states: DataFrame) -> DataFrame:
+    """(source_id, target_id, character, problem) of evidenced transfers(..., character, value) against states(taxon, character, cnt):
+    not_in_source, not_in_target, or value_differs from the target's count."""
+    t = evidence.where("causal_role = 'character_transfer'").select("source_id", "target_id", "character", "value")
+    of = lambda end, name: states.select(F.col("taxon").alias(end), "character", F.col("cnt").alias(name))
+    j = t.join(of("source_id", "s"), ["source_id", "character"], "left").join(of("target_id", "t"), ["target_id", "character"], "left")
+    problem = F.when(F.col("s").isNull(), "not_in_source").when(F.col("t").isNull(), "not_in_target").when(F.col("value").isNotNull() & (F.col("value") != F.col("t")), "value_differs")
+    return j.select("source_id", "target_id", "character", problem.alias("problem")).where("problem is not null")
+
+
+def contact_pairs(artifacts: DataFrame, admitted: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, gap_days, n_evidence) for every ordered pair of artifacts, which is the result asked for; a
+    list of pairs with evidence alone comes from ``admit_evidence``."""
+    end = lambda name: artifacts.select(F.col("artifact_id").alias(f"{name}_id"), F.col("date_max" if name == "source" else "date_min").alias("source_max" if name == "source" else "target_min"))
+    every = end("source").join(end("target"), F.col("source_id") != F.col("target_id"))
+    n = admitted.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n_evidence"))
+    j = every.join(n, ["source_id", "target_id"], "left")
+    return j.select("source_id", "target_id", temporal_relation(F.col("source_max"), F.col("target_min")).alias("relation"), F.greatest(F.lit(0), F.datediff("target_min", "source_max")).alias("gap_days"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
+
+
+def entry_candidates(entries: DataFrame) -> DataFrame:
+    """entries(entry_id, identifiers, releases array<struct<release_name, identifiers>>) -> (entry_id, namespace, value): what identifies
+    an entry or one of its releases, each once."""
+    own = entries.select("entry_id", F.explode("identifiers").alias("i"))
+    released = entries.select("entry_id", F.explode("releases").alias("r")).select("entry_id", F.explode("r.identifiers").alias("i"))
+    return own.unionByName(released).select("entry_id", "i.namespace", "i.value").where("value is not null").distinct()

@@ -63,10 +63,10 @@ def top_p(df: DataFrame, p: float) -> DataFrame:
 def select_papers(df: DataFrame, paperless_quota: int | None = None) -> DataFrame:
     """The best entry of each paper; of the paperless ones the best ``paperless_quota`` (all if None); ranked anew."""
     scored = df.where("score is not null and not isnan(score)")
-    best = scored.where("paper is not null").groupBy("paper").agg(F.max_by(F.struct(*[c for c in df.columns if c != "paper"]), F.struct(F.col("score"), F.col("version_id").alias("v"))).alias("r"))
-    first = Window.partitionBy("paper").orderBy(F.col("score").desc(), "version_id")
-    del best
-    kept = scored.where("paper is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    rest = [c for c in df.columns if c != "paper"]
+    order = F.struct(-F.col("score").cast("double"), F.col("version_id"))
+    best = scored.where("paper is not null").groupBy("paper").agg(F.min_by(F.struct(*rest), order).alias("r"))
+    kept = best.select("paper", *[F.col(f"r.{c}").alias(c) for c in rest]).select(*df.columns)
     loose = scored.where("paper is null")
     if paperless_quota is not None:
         loose = loose.orderBy(F.col("score").desc(), "version_id").limit(paperless_quota)
@@ -117,3 +117,24 @@ def merge_metadata(df: DataFrame, key: str, name: str, value: str) -> DataFrame:
     """(key, name, value, n_values): a value all rows agree on is kept, else null and their number."""
     d = df.where(F.col(value).isNotNull()).groupBy(key, name).agg(F.min(value).alias("low"), F.count_distinct(value).alias("n_values"))
     return d.select(key, name, F.when(F.col("n_values") == 1, F.col("low")).alias("value"), "n_values")
+
+
+def older_than(df: DataFrame, at: str, since: str) -> DataFrame:
+    """Rows before the window: what tells that a stream sorted by date has passed it."""
+    return df.where(F.col(at) < F.lit(since).cast("timestamp"))
+
+
+def merge_profiles(df: DataFrame, key: str) -> DataFrame:
+    """profiles(key, profile_digest, name, kind, date_min, date_max) -> one row per key: the widest dates, the kind or ``composite``, how
+    many were merged, and problem: digest_differs or name_differs, which no merge may have."""
+    g = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("merged"), F.count_distinct("profile_digest").alias("_d"), F.count_distinct("name").alias("_n"), F.count_distinct("kind").alias("_k"), F.min("kind").alias("kind"), F.min("name").alias("name"), F.min("profile_digest").alias("profile_digest"), F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max")
+    )
+    problem = F.when(F.col("_d") > 1, "digest_differs").when(F.col("_n") > 1, "name_differs")
+    return g.select(key, "name", F.when(F.col("_k") > 1, "composite").otherwise(F.col("kind")).alias("kind"), "profile_digest", "date_min", "date_max", "merged", problem.alias("problem"))
+
+
+def set_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Rows that one table has and the other lacks, with side: missing or unexpected. None means the tables hold the same set."""
+    actual = actual.select(*expected.columns)
+    return expected.subtract(actual).withColumn("side", F.lit("missing")).unionByName(actual.subtract(expected).withColumn("side", F.lit("unexpected")))

@@ -44,6 +44,7 @@ def shared(states: DataFrame) -> DataFrame:
 
 def compare(states: DataFrame) -> DataFrame:
     """(left_id, right_id, distance, shared, left_only, right_only) for every pair of taxa."""
+    states = Scratch(states.sparkSession, "compared").cut(states.select("taxon", "character", "cnt"), "states")  # read five times
     t = totals(states)
     both = pairs(t).join(shared(states), ["left_id", "right_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("bigint")))
     both = both.join(t.select(F.col("taxon").alias("left_id"), F.col("total").alias("ta")), "left_id").join(t.select(F.col("taxon").alias("right_id"), F.col("total").alias("tb")), "right_id")
@@ -80,6 +81,15 @@ def incomplete(distances: DataFrame, taxa: DataFrame) -> DataFrame:
     return twice.unionByName(bad.distinct()).unionByName(gone)
 
 
+def conflicts(comparisons: DataFrame) -> DataFrame:
+    """(subject, problem) of comparisons(left_id, right_id, distance, left_digest, right_digest, distance_signature): an artifact with
+    several digests, or more than one signature of distances, can't be compared in one tree."""
+    ends = comparisons.select(F.col("left_id").alias("subject"), F.col("left_digest").alias("digest")).unionByName(comparisons.select(F.col("right_id").alias("subject"), F.col("right_digest").alias("digest")))
+    split = ends.groupBy("subject").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("subject", F.lit("conflicting_digest").alias("problem"))
+    mixed = comparisons.agg(F.count_distinct("distance_signature").alias("n"), F.min("distance_signature").alias("subject")).where("n > 1").select("subject", F.lit("mixed_signatures").alias("problem"))
+    return split.unionByName(mixed)
+
+
 def triangles(distances: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """(a, b, c, violation) for every triple, the excess of its longest side over the other two, 0 if within tolerance."""
     d = distances.select("left_id", "right_id", F.col("distance").cast("double").alias("distance"))

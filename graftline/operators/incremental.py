@@ -99,7 +99,9 @@ def refresh(observations: DataFrame, reports: DataFrame, state: str, partitions:
     _, marks = _marks(spark, state)
     if marks is not None:
         old = marks.where(F.col("parts") == parts).select("part", F.col("fp_rows").alias("o_rows"), F.col("fp_hash").alias("o_hash"))
-        now = now.join(old, (now.part == old.part) & (now.fp_rows == old.o_rows) & (now.fp_hash == old.o_hash), "left_anti")
+        now = now.join(old, "part", "left").where(~F.col("o_rows").eqNullSafe(F.col("fp_rows")) | ~F.col("o_hash").eqNullSafe(F.col("fp_hash")))
+    else:
+        now = now.withColumn("o_rows", F.lit(None).cast("bigint"))
     stale = now.collect()  # one row for each partition
     if not stale:
         return []
@@ -109,7 +111,7 @@ def refresh(observations: DataFrame, reports: DataFrame, state: str, partitions:
     marked = spark.createDataFrame([(None, None, r.fp_rows, r.fp_hash, r.part) for r in stale], "run_id string, version_id string, fp_rows bigint, fp_hash decimal(38,0), part int")
     both = result.unionByName(marked).withColumn("parts", F.lit(parts))
     both.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("parts", "part").parquet(state)
-    return todo
+    return sorted(r.part for r in stale if r.fp_rows or r.o_rows)  # empty ones only got their marks
 
 
 def processed(spark, state: str) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graftline.functions import canonical
 from graftline.functions import text as T
-from graftline.operators import binding, catalog, documents, source_graph
+from graftline.operators import binding, catalog, discovery, documents, source_graph
 from graftline.plans import bindings as B
 from graftline.session import Scratch
-from graftline.sources import writers
+from graftline.sources import feeds, writers
 from graftline.streaming import registry
 from graftline.tables import load
 
@@ -444,6 +444,98 @@ def dataset_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return n(v, "vertices").unionByName(n(e, "edges")).unionByName(n(g, "graphs"))
 
 
+# ---------------------------------------------------------------- discovery, feeds, evidence
+
+
+_SCAN = """pg AS (SELECT o_custkey AS scan_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page_no, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderstatus FROM orders),
+rs AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'provider_reported_incomplete_results' WHEN page_no = n - 1 THEN 'provider_exhausted' END AS reason FROM pg WHERE page_no < 5),
+lp AS (SELECT scan_id, coalesce(min(page_no) FILTER (reason IS NOT NULL), max(page_no)) AS last_page FROM rs GROUP BY scan_id),
+en AS (SELECT o_custkey AS scan_id, p.page_no, l_linenumber AS pos, l_partkey AS version_id, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = orders.o_orderkey JOIN pg p ON p.o_orderkey = orders.o_orderkey),
+fo AS (SELECT * FROM en JOIN lp USING (scan_id) WHERE page_no <= last_page), fi AS (SELECT *, first_value(q) OVER (PARTITION BY scan_id, version_id ORDER BY page_no, pos) AS fq, row_number() OVER (PARTITION BY scan_id, version_id ORDER BY page_no, pos) AS k FROM fo)"""
+
+
+def _scans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders are the pages of a scan, their lines the entries, parts the versions; pending orders are incomplete pages."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    p = o.withColumn("page_no", (F.row_number().over(w) - 1)).withColumn("next_cursor", F.lead(F.col("o_orderkey").cast("string")).over(w))
+    pages = p.select(F.col("o_custkey").alias("scan_id"), "page_no", "next_cursor", F.lit(None).cast("bigint").alias("total_count"), F.lit(None).cast("bigint").alias("population"), F.lit(None).cast("string").alias("ordered_by"), (F.col("o_orderstatus") != "P").alias("results_complete"))
+    lines = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("version_id"), F.col("l_quantity").alias("q"))
+    entries = lines.join(p, "o_orderkey").select(F.col("o_custkey").alias("scan_id"), "page_no", "pos", "version_id", F.lit(None).cast("timestamp").alias("at"), F.col("q").cast("double").alias("score"), F.sha2(F.col("q").cast("string"), 256).alias("digest"))
+    return pages, entries
+
+
+@query(f"WITH {_SCAN}, c AS (SELECT scan_id, count(*) AS records_seen, count(*) FILTER (k = 1) AS eligible_entries, count(*) FILTER (q <> fq) AS conflicts FROM fi GROUP BY scan_id) SELECT l.scan_id, l.last_page + 1 AS pages_fetched, coalesce(records_seen, 0) AS records_seen, coalesce(eligible_entries, 0) AS eligible_entries, coalesce(conflicts, 0) AS conflicts, coalesce(r.reason, 'page_budget') AS stopped_reason FROM lp l JOIN rs r ON r.scan_id = l.scan_id AND r.page_no = l.last_page LEFT JOIN c ON c.scan_id = l.scan_id")
+def discovery_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Scans under a budget of five pages, which is the feature."""
+    pages, entries = _scans(spark, sf)
+    return discovery.scan(pages, entries, discovery.CatalogQuery(), max_pages=5)[1].select("scan_id", "pages_fetched", "records_seen", "eligible_entries", "conflicts", "stopped_reason")
+
+
+@query(f"WITH {_SCAN} SELECT scan_id, version_id, page_no FROM fi WHERE k = 1")
+def discovery_members(spark: SparkSession, sf: str) -> DataFrame:
+    pages, entries = _scans(spark, sf)
+    return discovery.scan(pages, entries, discovery.CatalogQuery(), max_pages=5)[0].select("scan_id", "version_id", "page_no")
+
+
+@query("SELECT 'hub:org/' || o_orderkey AS catalog_id, 'hub:org/' || o_orderkey || '@' || sha256(CAST(o_orderkey AS VARCHAR)) AS version_id, CASE o_orderstatus WHEN 'P' THEN 'private' WHEN 'F' THEN 'gated' ELSE 'public_artifact' END AS access_kind, CAST(o_orderdate AS TIMESTAMP) AS created_at, CAST(o_custkey AS DOUBLE) AS likes, 'arxiv:2101.' || printf('%05d', o_orderkey % 100000) AS paper FROM orders")
+def feed_hub_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """An order as a listing of a hub in JSON, brought to a catalog row."""
+    k = F.col("o_orderkey").cast("string")
+    tags = F.array(F.lit("text"), F.format_string("arxiv:2101.%05dv2", F.col("o_orderkey") % 100000))
+    gated = F.when(F.col("o_orderstatus") == "F", "manual")
+    raw = load(spark, sf, "orders").select(F.to_json(F.struct(F.concat(F.lit("org/"), k).alias("id"), F.sha2(k, 256).alias("sha"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"), F.col("o_custkey").alias("likes"), (F.col("o_orderstatus") == "P").alias("private"), gated.alias("gated"), tags.alias("tags"))).alias("raw"))
+    rows = feeds.hub_feed(raw, "2026-01-01 00:00:00")
+    return rows.where("problem is null").select("catalog_id", "version_id", "access_kind", "created_at", F.col("metrics")["likes"].alias("likes"), F.col("papers")[0].alias("paper"))
+
+
+@query("SELECT CASE WHEN event_id % 5 = 0 THEN 'no_native_id' WHEN event_id % 5 = 1 THEN 'unknown_entity_kind' WHEN event_id % 5 = 2 THEN 'not_an_object' WHEN event_id % 5 = 3 THEN 'metric_not_finite' END AS problem, count(*) AS n FROM events GROUP BY ALL")
+def feed_problems(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("event_id") % 5, F.col("event_id").cast("string")
+    raw = F.when(k == 0, F.lit('{"name": "x"}')).when(k == 1, F.concat(F.lit('{"id": "'), n, F.lit('", "entity_kind": "thing"}'))).when(k == 2, F.concat(F.lit("{"), n)).when(k == 3, F.concat(F.lit('{"id": "'), n, F.lit('", "metrics": {"likes": true}}'))).otherwise(F.concat(F.lit('{"id": "'), n, F.lit('", "metrics": {"likes": 2.5}, "paper_candidates": ["arxiv:1"]}')))
+    return feeds.plain_feed(load(spark, sf, "events").select(raw.alias("raw")), "feed", "2026-01-01 00:00:00").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH a AS (SELECT c_nationkey AS id, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey) SELECT s.id AS source_id, t.id AS target_id, CASE WHEN s.lo < t.lo THEN 'earlier' ELSE 'not_strictly_earlier' END AS relation, greatest(0, date_diff('day', s.lo, t.lo)) AS gap_days FROM a s, a t WHERE s.id <> t.id")
+def contact_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ordered pair of nations, dated by the first orders of their customers."""
+    o = load(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d")).join(load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    a = o.groupBy(F.col("c_nationkey").alias("artifact_id")).agg(F.min("d").alias("date_min")).withColumn("date_max", F.col("date_min"))
+    none = spark.createDataFrame([], "source_id bigint, target_id bigint")
+    return binding.contact_pairs(a, none).select("source_id", "target_id", "relation", "gap_days")
+
+
+@query("SELECT o_custkey AS id, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'composite' ELSE min(o_orderpriority) END AS kind, min(o_orderdate) AS date_min, max(o_orderdate) AS date_max, count(*) AS merged, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'digest_differs' END AS problem FROM orders GROUP BY o_custkey")
+def merge_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    o = load(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("profile_digest"), F.lit("x").alias("name"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("date_min"), F.col("o_orderdate").alias("date_max"))
+    return catalog.merge_profiles(o, "id").select("id", "kind", "date_min", "date_max", "merged", "problem")
+
+
+@query("SELECT problem, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CASE WHEN event_type = 'view' THEN 'self' WHEN event_type = 'click' THEN 'unknown_role' WHEN event_type = 'error' THEN 'bad_strength' END AS problem FROM events) GROUP BY ALL")
+def evidence_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as evidence, each content once, counted by what is wrong with it."""
+    t = F.col("event_type")
+    e = load(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.when(t == "view", F.col("user_id")).otherwise(F.lit(-1)).alias("target_id"), F.when(t == "click", "rumour").otherwise("provenance").alias("causal_role"), F.when(t == "error", 2.0).when(t == "purchase", 0.5).otherwise(1.0).alias("strength"), t.alias("character"))
+    return binding.normalized_evidence(e).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'cached_success' WHEN o_orderkey % 4 = 1 THEN 'cached_failure' ELSE 'pending' END AS action, count(*) AS n FROM orders GROUP BY ALL")
+def extraction_plan(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    targets = load(spark, sf, "orders").select(k.alias("entry_id"), F.concat(F.lit("org/"), k.cast("string")).alias("target"))
+    first = discovery.plan_extraction(targets, "policy-1", spark.createDataFrame([], "run_key string, status string"))
+    attempts = first.where("entry_id % 4 < 2").select("run_key", F.when(F.col("entry_id") % 4 == 0, "success").otherwise("failure").alias("status"))
+    return discovery.plan_extraction(targets, "policy-1", attempts).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_C}, r AS (SELECT version_id, paper, score, row_number() OVER (ORDER BY score DESC, version_id) AS rank FROM cat WHERE score IS NOT NULL AND paper IS NOT NULL) SELECT rank, version_id, score, (SELECT count(*) FROM orders WHERE o_custkey = paper) AS cited FROM r WHERE rank <= 50")
+def popularity_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifty best pinned entries with the citations of their paper; the limit is the feature."""
+    c = B.catalog(spark, sf).where("paper is not null").select("version_id", F.lit("r").alias("revision"), "score", F.array(F.col("paper").cast("string")).alias("papers"))
+    cited = load(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("paper")).agg(F.count(F.lit(1)).alias("cited"))
+    return discovery.popularity_manifest(c, 50, cited).select("rank", "version_id", "score", "cited")
+
+
 def queries():
     return dict(Q)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RELATION = "struct<predicate:string,source:string,source_record_id:string,confidence:double,target:struct<entry_id:string,local_id:string,name:string,status:string>>"
+RELATION = "struct<predicate:string,source:string,source_record_id:string,confidence:double,locator:string,subject_model_local_id:string,stated_at:timestamp,target:struct<entry_id:string,local_id:string,name:string,status:string,aliases:array<string>,identifiers:array<struct<namespace:string,value:string>>,confidence:double,locator:string>>"
 ENTRY = f"id string, canonical_name string, aliases array<string>, citations array<string>, identifiers array<struct<namespace:string,value:string>>, members array<struct<member_kind:string,name:string>>, model_relations array<{RELATION}>, releases array<struct<release_name:string,released_at:string>>, resources array<struct<kind:string,locator:string>>, tags array<string>"
 
 
@@ -46,6 +46,54 @@ def entry_problems(df: DataFrame) -> DataFrame:
     return twice.unionByName(blank).unionByName(name)
 
 
+def entry_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of JSON lines, a line a row, so files of any size are split; a malformed line gives a row with a null id."""
+    return spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", T._parse_datatype_string(ENTRY)).alias("e")).select("e.*")
+
+
+def entry_type_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(line, problem) of JSON lines: not_an_object, or not_a_list:<field> for a field that must be a list."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("line"), F.try_parse_json("value").alias("v"))
+    lists = ["aliases", "citations", "identifiers", "members", "model_relations", "releases", "resources", "tags"]
+    bad = F.array_compact(F.array(*[F.when(F.coalesce(~F.schema_of_variant(F.try_variant_get("v", f"$.{c}", "variant")).startswith("ARRAY"), F.lit(False)), F.lit(f"not_a_list:{c}")) for c in lists]))
+    object_ = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    return lines.select("line", F.explode(F.when(~object_, F.array(F.lit("not_an_object"))).otherwise(bad)).alias("problem"))
+
+
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, problem) of JSON files, one object each; the problem names what is wrong."""
+    t = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    kind = F.schema_of_variant(F.try_parse_json("text"))
+    return t.withColumn("problem", F.when(kind.isNull(), "not_json").when(~kind.startswith("OBJECT"), "not_an_object"))
+
+
+def profile_problems(profiles: DataFrame) -> DataFrame:
+    """profiles(path, text) -> (path, problem): not_json, no_artifact_id, no_digest, digest_differs (the canonical JSON without its own
+    digest is hashed again), duplicate_artifact_id."""
+    from graftline.functions import canonical
+
+    p = profiles.select("path", F.get_json_object("text", "$.artifact_id").alias("artifact_id"), F.get_json_object("text", "$.profile_digest").alias("digest"), canonical.digest_without(F.col("text"), "profile_digest").alias("again"))
+    twice = p.where("artifact_id is not null").groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n"))
+    j = p.join(twice, "artifact_id", "left")
+    problem = F.when(F.col("again").isNull(), "not_json").when(F.col("artifact_id").isNull(), "no_artifact_id").when(F.col("digest").isNull(), "no_digest").when(F.regexp_replace("digest", "^sha256:", "") != F.col("again"), "digest_differs").when(F.col("n") > 1, "duplicate_artifact_id")
+    return j.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def lineage_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """tree_edges, taxa, character_states and distances of lineages; the taxa must be the tips of the edges, and states and distances
+    must belong to them."""
+    from graftline.operators import catalog
+
+    held = {n: spark.read.parquet(f"{folder}/{n}") for n in ("tree_edges", "taxa", "character_states", "distances")}
+    tips = held["tree_edges"].where("child_is_taxon").select("tree_id", F.col("child").alias("model_id"))
+    if not catalog.set_differences(tips.distinct(), held["taxa"].select("tree_id", "model_id").distinct()).isEmpty():
+        raise FormatError(f"{folder}: the taxa aren't the tips of the tree")
+    for name, column in (("character_states", "taxon"), ("distances", "left_id"), ("distances", "right_id")):
+        if not held[name].select("tree_id", F.col(column).alias("model_id")).join(held["taxa"], ["tree_id", "model_id"], "left_anti").isEmpty():
+            raise FormatError(f"{folder}: {name} has unknown taxa")
+    return held
+
+
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     """(path, artifact_id, text) of all JSON profiles under a folder, failures left out."""
     t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
