@@ -114,8 +114,10 @@ def class_pairs(signatures: DataFrame, members: DataFrame, threshold: float, scr
     return exact.withColumn("similarity", similarity).where(F.col("both") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b", "similarity")
 
 
-def similar_pairs(df: DataFrame, set_id: str, element: Column, threshold: float = 0.7, scratch: Scratch | None = None) -> DataFrame:
-    """(left_id, right_id, similarity), smaller id first: every pair of records at or above the threshold, copies included."""
+def similar_classes(df: DataFrame, set_id: str, element: Column, threshold: float = 0.7, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members(set_id, cls) of every record, and pairs(a, b, similarity) of classes of equal sets. However often
+    a set is repeated, it is one class, so nothing grows with the square of its copies; pairs of records are spelled out of
+    this by ``similar_pairs``."""
     scratch = scratch or Scratch(df.sparkSession, "sets")
     sets = scratch.cut(elements(df, set_id, element), "elements")
     records = scratch.cut(classes(sets), "classes")
@@ -123,7 +125,12 @@ def similar_pairs(df: DataFrame, set_id: str, element: Column, threshold: float
     head = member.groupBy("cls").agg(F.min("set_id").alias("set_id"))
     signatures = scratch.cut(records.join(head.select("set_id"), "set_id", "left_semi").drop("set_id"), "signatures")
     held = scratch.cut(sets.join(head, "set_id").select("cls", "e"), "held")
-    pairs = class_pairs(signatures, held, threshold, scratch)
+    return member, class_pairs(signatures, held, threshold, scratch)
+
+
+def similar_pairs(df: DataFrame, set_id: str, element: Column, threshold: float = 0.7, scratch: Scratch | None = None) -> DataFrame:
+    """(left_id, right_id, similarity), smaller id first: every pair of records at or above the threshold, copies included."""
+    member, pairs = similar_classes(df, set_id, element, threshold, scratch)
     across = pairs.join(member.select(F.col("cls").alias("a"), F.col("set_id").alias("x")), "a").join(member.select(F.col("cls").alias("b"), F.col("set_id").alias("y")), "b").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "similarity")
     within = member.select("cls", F.col("set_id").alias("left_id")).join(member.select("cls", F.col("set_id").alias("right_id")), "cls").where("left_id < right_id").select("left_id", "right_id", F.lit(1.0).alias("similarity"))
     return across.unionByName(within)

@@ -100,6 +100,10 @@ def test_similar_sets(spark, monkeypatch, crowd):
             if a < b and j >= 0.7:
                 want[(a, b)] = round(j, 9)
     assert got == want and want
+    member, pairs = similar_sets.similar_classes(df, "model", F.col("element"))
+    of = {r.set_id: r.cls for r in member.collect()}
+    linked = {frozenset((r.a, r.b)) for r in pairs.collect()}
+    assert set(of) == set(sets) and {frozenset((of[a], of[b])) for a, b in want if of[a] != of[b]} == linked and all((of[a] == of[b]) == (sets[a] == sets[b]) for a, b in want)
     assert similar_sets.similar_pairs(df.limit(0), "model", F.col("element")).count() == 0
 
 
