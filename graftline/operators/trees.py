@@ -1,6 +1,6 @@
 """Rooted trees as edges(tree_id, parent, child, branch_length): roots, layout, states of ancestors, traits, Newick text.
 
-Levels are walked by joins, one per level, down to the last; a cycle below a root fails. Nulls: edges with a null end are invalid, a null length
+Ways from the root double every round; a cycle fails. Nulls: edges with a null end are invalid, a null length
 counts as 0. A child with two parents, a tree with several roots or a cycle is invalid (``problems``). Empty tables give empty
 results.
 """
@@ -30,15 +30,23 @@ def problems(edges: DataFrame) -> DataFrame:
 
 
 def placed(edges: DataFrame, scratch) -> DataFrame:
-    """(tree_id, node, parent, depth, x, path): x is the length from the root, path the sorted way of ids down to the node."""
-    e = scratch.cut(edges.select("tree_id", "parent", F.col("child").alias("node"), F.coalesce(F.col("branch_length").cast("double"), F.lit(0.0)).alias("len")), "edges")
-    folder = scratch.path("levels")
-    level, found = scratch.grow(roots(edges).select("tree_id", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0.0).alias("x"), F.array("root").alias("path")), folder)
-    way = F.when(F.array_contains("path", F.col("node")), F.raise_error(F.concat(F.lit("a cycle through "), F.col("node").cast("string")))).otherwise(F.concat("path", F.array("node")))
-    while not level.isEmpty():
-        up = level.select("tree_id", F.col("node").alias("parent"), "depth", "x", "path")
-        level, found = scratch.grow(e.join(up, ["tree_id", "parent"]).select("tree_id", "node", "parent", (F.col("depth") + 1).alias("depth"), (F.col("x") + F.greatest("len", F.lit(0.0))).alias("x"), way.alias("path")), folder)
-    return found
+    """(tree_id, node, parent, depth, x, path): x is the length from the root, path the sorted way of ids down to the node.
+
+    Every node knows the way from an ancestor; each round the ancestor's own way is put before it, which doubles the way: a tree
+    of depth d takes log2(d) rounds. A way that comes back to its ancestor is a cycle and fails."""
+    length = F.greatest(F.coalesce(F.col("branch_length").cast("double"), F.lit(0.0)), F.lit(0.0))
+    below = edges.select("tree_id", F.col("child").alias("node"), "parent", F.col("parent").alias("up"), F.lit(1).alias("depth"), length.alias("x"), F.array("child").alias("path"))
+    top = roots(edges).select("tree_id", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth"), F.lit(0.0).alias("x"), F.array("root").alias("path"))
+    state = scratch.cut(below.unionByName(top), "ways", 2)
+    back = F.array_position("path", F.col("up"))
+    ring = F.raise_error(F.concat(F.lit("a cycle through "), F.array_min(F.slice("path", F.lit(1), back.cast("int"))).cast("string")))
+    while not state.where("up is not null").isEmpty():
+        above = state.select("tree_id", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("x").alias("_x"), F.col("path").alias("_path"))
+        longer = state.join(above, ["tree_id", "up"], "left").select(
+            "tree_id", "node", "parent", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("x") + F.coalesce("_x", F.lit(0.0))).alias("x"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")
+        )
+        state = scratch.cut(longer.withColumn("path", F.when(back > 0, ring).otherwise(F.col("path"))), "ways", 2)
+    return state.drop("up")
 
 
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:

