@@ -96,7 +96,7 @@ def regions(vertices: DataFrame, edges: DataFrame, scratch) -> DataFrame:
     while True:
         side = lambda rows, s: rows.select("graph_id", F.col("node").alias(f"pred_{s}"), "ancestor", F.col("depth").alias(f"depth_{s}"))
         both = lambda a, b: pairs.join(side(a, "a"), ["graph_id", "pred_a"]).join(side(b, "b"), ["graph_id", "pred_b", "ancestor"])
-        hits = both(level, found).unionByName(both(found, level))
+        hits = both(found, found).where(F.lit(depth > 0))  # open pairs have nothing in common above the last level; no node is another one
         best = hits.groupBy("graph_id", "exit", "pred_a", "pred_b").agg(F.min(F.struct((F.col("depth_a") + F.col("depth_b")).alias("sum"), F.col("ancestor").alias("entry"), "depth_a", "depth_b")).alias("r"))
         new, chosen = scratch.grow(best.select("graph_id", "exit", "pred_a", "pred_b", "r.entry", "r.depth_a", "r.depth_b"), met)
         pairs = scratch.cut(pairs.join(new, ["graph_id", "exit", "pred_a", "pred_b"], "left_anti"), "open", 2)
