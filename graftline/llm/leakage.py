@@ -6,17 +6,16 @@ match means. Both ask that the slots' values map one to one (which words of the
 
 * ``leaks``: each slot holds the item's own value, so the document holds those words of the item (the pairs of p8_found);
 * ``reparameterised``: over ``LONG_TEMPLATE`` words the slots hold other values than any item has there, as in a question
-  asked again with other names and numbers.
+  asked again with other names and numbers. A document is paired with every item of the template.
 
 A word with a digit is a number. Units are the listed ones and words that the items write mostly behind numbers. Names are
 words that the items write with a capital wherever they stand inside a sentence, and all words that no item holds. What a word
 is depends on the word alone, so equal words are equal symbols on both sides whatever the typing makes of them.
 
-Items are read, counted and joined as tables; nothing of them comes to the driver but three maps of bits of a fixed size
-(``WORD_BITS``, ``TEMPLATE_BITS``), which go to all executors: the items' template words, their units, and the templates of
-their windows, by which windows that no item has are left out before the shuffle. A bit set by another word or template makes
-a slot a word, or lets a window through to the join that finds no partner; it loses no leak. Texts are read whole, in Arrow
-batches.
+Items are read, counted and joined as tables; what comes of them to the driver and goes to all executors are 64-bit hashes of
+their template words and units (no names, no numbers: 8 bytes for each word of their language) and a map of ``TEMPLATE_BITS``
+bits of the templates of their windows, by which windows that no item has are left out before the shuffle. A bit set by another
+template lets a window through to the join that finds no partner; it loses nothing. Texts are read whole, in Arrow batches.
 
 Letter case, punctuation, markup, spacing, line breaks, invisible characters, wide and look-alike letters, ligatures and the
 composition of letters are set aside.
@@ -42,7 +41,7 @@ from graftline.session import Scratch
 from graftline.skew import hot_join
 
 WINDOW, LONG_TEMPLATE = 12, 24
-WORD_BITS, TEMPLATE_BITS, SLICE = 1 << 24, 1 << 25, 1 << 15
+TEMPLATE_BITS, SLICE = 1 << 25, 1 << 15
 # Units of measure, beside those that the items' use shows.
 UNITS = {
     "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "mile", "miles", "foot", "feet", "inch", "inches", "gram", "grams", "kilogram", "kilograms",
@@ -76,7 +75,7 @@ def _is_number(word: str) -> bool:
 
 def word_uses(items: DataFrame) -> DataFrame:
     """(word, n, inside, capital, behind): how often the items hold a word, inside a sentence, there with a capital, and behind a
-    number."""
+    number. Numbers are left out, as they are known by themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table()
@@ -92,6 +91,7 @@ def word_uses(items: DataFrame) -> DataFrame:
                     for w in words(m[1], table):
                         use[w][1] += 1
                         use[w][2] += m[1][0].isupper()
+            use = {w: u for w, u in use.items() if not _is_number(w)}
             yield pa.RecordBatch.from_arrays([pa.array(list(use), pa.string()), *[pa.array([u[k] for u in use.values()], pa.int64()) for k in range(4)]], ["word", "n", "inside", "capital", "behind"])
 
     rows = items.select("text").mapInArrow(run, "word string, n bigint, inside bigint, capital bigint, behind bigint")
@@ -119,13 +119,19 @@ def _held(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (packed[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
+def _among(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` are in ``known`` (both uint64, ``known`` sorted)."""
+    return np.searchsorted(known, hashes, "right") > np.searchsorted(known, hashes)
+
+
 def typed_words(items: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Maps of the items' template words and of their units."""
+    """Sorted hashes of the items' template words and of their units."""
     uses = scratch.cut(word_uses(items), "uses")
     hashed = uses.select("word", "n", "inside", "capital", "behind", F.xxhash64("word").alias("h"))
     unit = (F.col("behind") >= 2) & (2 * F.col("behind") > F.col("n"))
     name = (F.col("inside") > 0) & (F.col("capital") == F.col("inside"))
-    return bit_map(hashed.where(~unit & ~name).select("h"), WORD_BITS), bit_map(hashed.where(unit & ~name).select("h"), WORD_BITS)
+    listed = lambda which: np.sort(hashed.where(which).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    return listed(~unit & ~name), listed(unit & ~name)
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -160,8 +166,8 @@ class Symbols:
         new = [w for w in dict.fromkeys(ws) if w not in seen]
         if new:
             value = np.array([self.hash(w.encode(), 42) for w in new], np.uint64)  # Spark's xxhash64 of a string
-            kind = np.where(_held(self.words, value), value, NAME)
-            kind = np.where(_held(self.units, value) | np.array([w in UNITS for w in new]), UNIT, kind)
+            kind = np.where(_among(self.words, value), value, NAME)
+            kind = np.where(_among(self.units, value) | np.array([w in UNITS for w in new]), UNIT, kind)
             kind = np.where([_is_number(w) for w in new], NUMBER, kind)
             seen.update(zip(new, zip(kind.tolist(), value.tolist())))
         both = np.array([seen[w] for w in ws], np.uint64).reshape(-1, 2)
@@ -227,10 +233,9 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, scratch: Scrat
 
 
 def reparameterised(docs: DataFrame, items: DataFrame, width: int = LONG_TEMPLATE, scratch: Scratch | None = None) -> DataFrame:
-    """(id, n_windows, n_items, first_item): documents with windows of an item's template whose slots map one to one to the
-    item's but hold other values than any item has there. Items of one template are counted, not paired with each document."""
+    """(id, item_id, n_windows): documents and every item of whose template they have windows with slots that map one to one to
+    the item's but hold other values than any item has there."""
     theirs, ours = _template_windows(docs, items, width, scratch or Scratch(docs.sparkSession, "leaks"))
     copied = ours.select("template", "slots").distinct()
-    templates = ours.groupBy("template", "pattern").agg(F.min("item_id").alias("first_item"), F.count_distinct("item_id").alias("n_items"))
-    other = theirs.join(copied, ["template", "slots"], "left_anti")
-    return hot_join(other, templates, ["template", "pattern"]).groupBy("id").agg(F.sum("n").alias("n_windows"), F.max("n_items").alias("n_items"), F.min("first_item").alias("first_item"))
+    other = theirs.join(copied, ["template", "slots"], "left_anti").groupBy("id", "template", "pattern").agg(F.sum("n").alias("n"))
+    return hot_join(other, ours.select("item_id", "template", "pattern").distinct(), ["template", "pattern"]).groupBy("id", "item_id").agg(F.sum("n").alias("n_windows"))

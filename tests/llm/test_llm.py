@@ -170,6 +170,24 @@ def test_reparameterised_questions(spark):
     assert {(r.id, r.item_id) for r in leakage.leaks(d, i).where("id = 100").collect()} == {(100, "i0")}
 
 
+def test_reparameterised_pairs(spark):
+    """A question asked again is paired with every item of its form, also if a new name shares the last 24 bits of its hash with a
+    word of the items ("rumenamu" and "before")."""
+    forms = [
+        "A keeper called {a} pays {n} credits for every ledger that {b} sends, while {a} asks for {m} credits, and so wonders how many ledgers {b} must send before the sum is even.",
+        "Suppose that the river {a} carries {n} barrels to the town of {b} in spring, but {m} barrels in autumn; how many barrels reach {b} when the river {a} and the town run together?",
+    ]
+    fill = lambda k, a, b, n, m: forms[k % 2].format(a=a, b=b, n=n, m=m)
+    items = [(f"i{k}", fill(k, f"Bado{c}", f"Kilu{c}", 10 + k, 50 + k)) for k, c in enumerate("klmnrst")]
+    docs = [(1, fill(0, "Tesak", "Gubin", 3, 4)), (2, fill(1, "Tesak", "Gubin", 3, 4)), (3, fill(0, "Rumenamu", "Gubin", 3, 4)), (4, fill(0, "Tesak", "Gubin", 3, 4) + " " + fill(1, "Rumenamu", "Gubin", 3, 4)), (5, items[0][1])]
+    d, i = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = leakage.reparameterised(d, i).collect()
+    even, odd = ({f"i{k}" for k in range(first, 7, 2)} for first in (0, 1))
+    assert {(r.id, r.item_id) for r in got} == {(n, x) for n, held in ((1, even), (2, odd), (3, even), (4, even | odd)) for x in held} and len(got) == len({(r.id, r.item_id) for r in got})
+    words = [len(leakage.words(items[k][1], leakage._table())) for k in (0, 1)]
+    assert all(r.n_windows == words[r.item_id in odd] - 23 for r in got)
+
+
 def test_mixing(spark, monkeypatch):
     rng = random.Random(2)
     docs = [(n, s, rng.choice(["en", "fr", None]), rng.choice(["a", "b"]), rng.randrange(50, 400)) for n, s in enumerate(["big"] * 900 + ["mid"] * 300 + ["small"] * 60 + ["none"] * 40)] + [(5000, None, "en", "a", 9), (None, "big", "en", "a", 9)]
