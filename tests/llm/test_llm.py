@@ -248,3 +248,47 @@ def test_blocks_hold_recall_at_any_size():
     assert entity_match.forest(0) == entity_match.forest(10_000) == (6, 32)
     for size in (100_000, 1_000_000, 10_000_000):
         assert found(*entity_match.forest(size)) >= least - 0.01
+
+
+@pytest.mark.parametrize("tile", [1 << 18, 9])
+def test_blocks_in_place(spark, monkeypatch, tile):
+    """Candidates are exactly the pairs that have the signs of a table in common, however the classes are cut into tiles, and what
+    moves doesn't grow with the tables."""
+    import numpy as np
+
+    monkeypatch.setattr(entity_match, "TILE", tile)
+    monkeypatch.setattr(entity_match, "AT_ONCE", 1 << (21 if tile > 9 else 6))
+    rng = random.Random(3)
+    base = ["".join(rng.choice("bdgk") + rng.choice("aeiou") for _ in range(4)) for _ in range(12)]
+    slip = lambda w: "".join(rng.choice("xyz") if rng.random() < 0.25 else c for c in w)
+    rows = [(k % 2, f"n{k}", sorted({slip(rng.choice(base)) for _ in range(rng.randrange(1, 4))}), rng.choice(["va", "vb", None]), [f"pp-{rng.randrange(9)}"][: rng.randrange(2)], 1 + (k % 12 == 0), rng.choice([None, 100.0, 105.0, 111.0, 119.0]), "base") for k in range(160)] + [(0, "long", ["q" * 4000], None, [], 1, None, "base")]
+    sides = spark.createDataFrame(rows, entity_match.SIDE)
+    model, common = entity_match._start(), np.ones(entity_match.VOCABULARY, np.float32)
+    bits, tables = 9, 12
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    centred = unit(model) - unit(model).mean(0)
+    planes = np.random.default_rng(5).standard_normal((entity_match.DIM, tables * bits)).astype(np.float32)
+    held = {}
+    for r in entity_match.by_family(sides).collect():
+        parts = np.array([unit(centred[a].mean(0)) if a else np.zeros(entity_match.DIM) for a in r.attributes])
+        signs = ((parts * np.array([3, 1, 1])[:, None]).sum(0) @ planes > 0).reshape(tables, bits)
+        held.setdefault((r.side, r.id), []).append((r.families[0], parts * entity_match.WEIGHTS[:, None], signs))
+    of = {(r[0], r[1]): r for r in rows}
+    same = lambda a, b: a[5] == b[5] and a[7] == b[7] and ((a[6] is None) == (b[6] is None)) and (a[6] is None or max(a[6], b[6]) / min(a[6], b[6]) <= entity_match.SIZE_SLACK)
+    want = {}
+    for r in (k for k in held if k[0] == 1):
+        for e in (k for k in held if k[0] == 0):
+            if same(of[r], of[e]) and any((x[2] == y[2]).all(1).any() and edit(x[0], y[0]) <= entity_match.EDITS for x in held[r] for y in held[e]):
+                want[r[1], e[1]] = max((x[1] * y[1]).sum() for x in held[r] for y in held[e])
+    ids = sides.select("id", F.xxhash64("id").alias("no"))
+    name = {x.no: x.id for x in ids.collect()}
+    written = lambda: sum(x.totalShuffleWrite() for x in (lambda s: [s.apply(i) for i in range(s.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    moved = []
+    for n in (tables, 16 * tables):
+        before = written()
+        got = {(name[x.r], name[x.e]): x.nearest for x in entity_match.candidates(sides, model, common, bits, n).collect()}
+        moved.append(written() - before)
+        if n == tables:
+            assert got.keys() == want.keys() and len(want) > 50 and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    assert 0 < moved[1] < 2 * moved[0]
+    assert entity_match.candidates(sides.where("side = 0"), model, common, bits, tables).count() == 0
