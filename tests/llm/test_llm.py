@@ -250,6 +250,36 @@ def test_blocks_hold_recall_at_any_size():
         assert found(*entity_match.forest(size)) >= least - 0.01
 
 
+def test_blocks_leave_in_stripes(monkeypatch):
+    """However many pairs of a block meet, no more than a stripe of them is held, and all of them come once."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    u = [rng.standard_normal((n, entity_match.DIM)).astype(np.float32) for n in (300, 400)]
+    none, size = [np.zeros(len(x), np.int64) for x in u], [np.where(rng.random(len(x)) < 0.5, np.nan, 0.0) for x in u]
+    pairs = lambda: [set(zip(*p.tolist())) for p in entity_match._meetings(u, none, size, 3, 6)]
+    whole = pairs()
+    stripe, held = entity_match._stripe, []
+    monkeypatch.setattr(entity_match, "_stripe", lambda *a: held.append(stripe(*a)[0]) or stripe(*a))
+    monkeypatch.setattr(entity_match, "AT_ONCE", 1 << 11)
+    parts = pairs()
+    sizes = [len(x) for x in held if x is not None]
+    assert len(set.union(*whole)) > 50_000 and len(sizes) > 10 and max(sizes) < 2 * (1 << 11)
+    assert sum(map(len, parts)) == sum(sizes) == len(set.union(*whole)) and set.union(*parts) == set.union(*whole)
+
+
+def test_vectors_of_a_block_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    lists = pa.array([[rng.integers(0, entity_match.VOCABULARY, rng.integers(0, 5)).tolist() for _ in range(3)] for _ in range(200)], pa.list_(pa.list_(pa.int16())))
+    model, common = entity_match._start(), rng.random(entity_match.VOCABULARY).astype(np.float32)
+    whole = entity_match._vectors(lists, model, common)
+    monkeypatch.setattr(entity_match, "TOKENS", 7)
+    assert (entity_match._vectors(lists, model, common) == whole).all() and (entity_match._vectors(lists.slice(0, 0), model, common).shape == (0, 3, entity_match.DIM))
+
+
 @pytest.mark.parametrize("tile", [1 << 18, 9])
 def test_blocks_in_place(spark, monkeypatch, tile):
     """Candidates are exactly the pairs that have the signs of a table in common, however the classes are cut into tiles, and what
