@@ -39,15 +39,15 @@ def _lists(edges: DataFrame, labels: DataFrame, own: str, other: str, out: str)
 def labels(vertices: DataFrame, edges: DataFrame, radius: int, scratch=None) -> DataFrame:
     """(graph_id, node_id, radius, label) for radii 0 .. ``radius``; edges with their port labels (column ``port``)."""
     start = F.sha2(F.concat(F.lit('["operator",'), json_text(F.col("operation")), F.lit(',"attributes",'), F.coalesce("attributes", F.lit("{}")), F.lit("]")), 256)
-    edges = scratch.cut(edges.select("graph_id", "source", "target", "port"), "edges") if scratch and radius else edges
+    edges = scratch.cut(edges.select("graph_id", "source", "target", "port"), "edges", weigh=True) if scratch and radius else edges
     now = vertices.where("operation is not null").select("graph_id", "node_id", start.alias("label"))
-    now = scratch.cut(now, "labels") if scratch else now
+    now = scratch.cut(now, "labels", weigh=True) if scratch else now
     rounds = [now.withColumn("radius", F.lit(0))]
     for r in range(1, radius + 1):
         i, o = _lists(edges, now, "target", "source", "ins"), _lists(edges, now, "source", "target", "outs")
         text = F.concat(F.lit('{"in":['), F.coalesce("ins", F.lit("")), F.lit('],"out":['), F.coalesce("outs", F.lit("")), F.lit('],"self":"'), F.col("label"), F.lit('"}'))
         now = now.join(i, ["graph_id", "node_id"], "left").join(o, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.sha2(text, 256).alias("label"))
-        now = scratch.cut(now, "labels") if scratch else now
+        now = scratch.cut(now, "labels", weigh=True) if scratch else now
         rounds.append(now.withColumn("radius", F.lit(r)))
     return reduce(DataFrame.unionByName, rounds).select("graph_id", "node_id", "radius", "label")
 

@@ -372,3 +372,26 @@ def test_compact_lineage_doubles_every_nation(spark):
     rows = reference_graphs.compact_lineage_edges(spark, sf).collect()
     assert {(r.parent, r.child) for r in rows if r.parent.startswith("__group__:")} == {(f"__group__:{n}", f"{n}{x}") for n in tips for x in ("", "_copy")}
     assert {r.child for r in rows if r.is_group} <= {f"__group__:{n}" for n in tips}
+
+
+def test_packed_tables_are_not_broadcast(spark):
+    """Millions of alike rows are a small file, but no small table."""
+    from pyspark.sql import functions as F
+
+    scratch = Scratch(spark, "t")
+    alike = lambda n: spark.range(n).select((F.col("id") * 0).alias("k"), F.lit("n000001").alias("source"), F.lit("n000002").alias("target"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = spark.range(3).withColumnRenamed("id", "k")
+    large, small, none = (scratch.cut(alike(n), "alike", weigh=True) for n in (1_000_000, 1000, 0))
+    other = scratch.cut(alike(1_000_000), "alike", weigh=True)
+    assert "SortMergeJoin" in plan(large.where("k = 1").join(other, "k", "left")) and "BroadcastHashJoin" in plan(small.join(few, "k"))
+    assert large.count() == 1_000_000 and none.join(few, "k").count() == 0
+
+    rows = 300_000
+    v = spark.range(rows).select(F.floor(F.col("id") / 50).cast("string").alias("graph_id"), F.format_string("n%06d", F.col("id") % 50).alias("node_id"), F.lit("view").alias("operation"), F.lit("{}").alias("attributes"))
+    e = v.where("node_id > 'n000000'").select("graph_id", F.lit("n000000").alias("source"), F.col("node_id").alias("target"), F.lit("arg:000000").alias("port"))
+    seen = []
+    cut = scratch.cut
+    scratch.cut = lambda df, *a, **k: seen.append(plan(df)) or cut(df, *a, **k)
+    assert characters.labels(v, e, 1, scratch).count() == 2 * rows
+    assert len(seen) == 3 and "SortMergeJoin" in seen[2] and "BroadcastHashJoin" not in seen[2]
