@@ -164,7 +164,7 @@ def ambiguities(sides: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFra
     around = lambda own, other, out: t.groupBy("pair_id", "side", F.col(own).alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("port", F.col(f"{other}_token").alias("token")))).alias(out))
     none = F.array().cast("array<struct<port:string,token:string>>")
     full = sides.join(around("target", "source", "ins"), ["pair_id", "side", "node_id"], "left").join(around("source", "target", "outs"), ["pair_id", "side", "node_id"], "left")
-    context = full.select("pair_id", "side", "node_id", F.sha2(F.to_json(F.struct(F.coalesce("ins", none).alias("incoming"), F.col("token").alias("node"), F.coalesce("outs", none).alias("outgoing"))), 256).alias("context"))
+    context = full.select("pair_id", "side", "node_id", F.sha2(F.to_json(F.struct(F.coalesce("ins", none).alias("incoming"), F.col("token").alias("node"), F.coalesce("outs", none).alias("outgoing"))), 256).alias("context")).hint("merge")  # a row a node, packed small
     ids = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("node_id"))))
     groups = context.groupBy("pair_id", "context").agg(ids("left").alias("left_ids"), ids("right").alias("right_ids")).where("size(left_ids) > 0 and size(right_ids) > 0 and size(left_ids) + size(right_ids) > 2")
     own = lambda side: context.where(F.col("side") == side).select("pair_id", F.col("node_id").alias(f"{side}_id"), F.col("context").alias(f"{side}_context"))
