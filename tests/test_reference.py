@@ -395,3 +395,20 @@ def test_packed_tables_are_not_broadcast(spark):
     scratch.cut = lambda df, *a, **k: seen.append(plan(df)) or cut(df, *a, **k)
     assert characters.labels(v, e, 1, scratch).count() == 2 * rows
     assert len(seen) == 3 and "SortMergeJoin" in seen[2] and "BroadcastHashJoin" not in seen[2]
+
+
+def test_titles_that_begin_alike_meet_few_entries(spark):
+    """Titles with one beginning are told apart by another piece of them; titles inside titles and copies are still found."""
+    from pyspark.sql import functions as F
+
+    known = spark.range(3000).select(F.concat(F.lit("the long title number "), (F.col("id") + 10000).cast("string"), F.lit(" of all")).alias("norm"))
+    pieces = documents.title_pieces(known)
+    assert pieces.count() == 3000 and pieces.groupBy("piece").count().agg(F.max("count")).first()[0] == 1
+    targets = "target_id string, title string, doi string, arxiv_id string, urls array<string>, author string, year int"
+    entries = "entry_id string, entry string, doi string, arxiv_id string, urls array<string>, author string, year int"
+    titles = ["a survey of large trees", "a survey of large trees and forests", "a survey of large tables", "sixteen letters!", "a survey of large ships", "a survey of large ships"]
+    c = spark.createDataFrame([(f"t{k}", x, None, None, [], None, None) for k, x in enumerate(titles)], targets)
+    texts = ["Doe. A Survey of Large Tables. 2020", "Roe. A survey of large trees and forests", "A survey of large", "x a survey of large ships y", "A survey of large trees"]
+    e = spark.createDataFrame([(f"e{k}", x, None, None, [], None, None) for k, x in enumerate(texts)], entries)
+    got = {r.entry_id: (r.status, r.target_id) for r in documents.resolve_bibliography(e, c).collect()}
+    assert got == {"e0": ("resolved", "t2"), "e1": ("ambiguous", None), "e2": ("unresolved", None), "e3": ("ambiguous", None), "e4": ("resolved", "t0")}
