@@ -412,3 +412,15 @@ def test_titles_that_begin_alike_meet_few_entries(spark):
     e = spark.createDataFrame([(f"e{k}", x, None, None, [], None, None) for k, x in enumerate(texts)], entries)
     got = {r.entry_id: (r.status, r.target_id) for r in documents.resolve_bibliography(e, c).collect()}
     assert got == {"e0": ("resolved", "t2"), "e1": ("ambiguous", None), "e2": ("unresolved", None), "e3": ("ambiguous", None), "e4": ("resolved", "t0")}
+
+
+def test_distances_in_tiles(spark):
+    """However the taxa are dealt into groups, every pair comes once with the distance of the plain join."""
+    rng = random.Random(5)
+    rows = [(f"t{k}", f"c{c}", rng.randrange(0, 9)) for k in range(40) for c in range(12) if rng.random() < 0.5] + [("empty", "c0", None), ("odd", None, 3), (None, "c1", 2), ("alone", "c99", 4)]
+    states = spark.createDataFrame(rows, "taxon string, character string, cnt bigint")
+    key = lambda df: sorted((r.left_id, r.right_id, r.distance) for r in df.select("left_id", "right_id", "distance").collect())
+    want = key(distance.compare(states))
+    for side in (1000, 7):
+        assert key(distance.distances(states, side)) == want
+    assert distance.distances(states.limit(0)).count() == 0
